@@ -32,9 +32,9 @@ def running_totals(frame: DataFrame, order: list[str], value: str, total: str =
     within = W.partitionBy(PART).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         ranged.withColumn("_run", F.sum(number).over(within))
-        .withColumn("_nth", F.row_number().over(W.partitionBy(PART).orderBy(*order)))
+        .withColumn("_in_part", F.row_number().over(W.partitionBy(PART).orderBy(*order)))
         .join(F.broadcast(offsets), PART)  # one row a partition
         .withColumn(total, F.col("_run") - number + F.col("_sum_before"))
-        .withColumn(index, F.col("_nth") - 1 + F.col("_rows_before"))
-        .drop("_run", "_nth", "_sum_before", "_rows_before")
+        .withColumn(index, F.col("_in_part") - 1 + F.col("_rows_before"))
+        .drop("_run", "_in_part", "_sum_before", "_rows_before")
     )
