@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import mixing, sharding
+from bidlake.llm import bpe, mixing, sharding
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed public tokenizer files have this vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +30,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    encoded = bpe.bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    decoded = bpe.bpe_decode(encoded.select("doc_id", "ids"), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sharding": op3_sharding, "op6_mixing": op6_mixing}
+    return {"op3_sharding": op3_sharding, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
