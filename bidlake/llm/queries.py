@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, mixing, sharding
+from bidlake.llm import bpe, media, mixing, sharding
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_text(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.media_features(stored).drop("media_error")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.byte_shards(_table(spark, sf_dir, "documents"), shards=8)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -43,7 +48,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sharding": op3_sharding, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe}
+    return {"op1_media": op1_media, "op3_sharding": op3_sharding, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
