@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, media, mixing, sharding
+from bidlake.llm import bpe, media, minhash, mixing, sharding
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -47,8 +47,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op3_sharding": op3_sharding, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe}
+    return {"op1_media": op1_media, "op3_sharding": op3_sharding, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
