@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidlake.operators.prefilter import likely_among
 from bidlake.session import cut
 
 
@@ -49,14 +50,17 @@ def list_components(
 ) -> DataFrame:
     """Components of the links that ``verify`` finds among pairs that share a key: (node, root) of linked nodes.
 
-    ``postings`` has (key, id, rank), ``details`` what ``plausible`` needs of each id; ``verify`` takes distinct pairs (a, b), a < b, and returns
+    ``postings`` has (key, id), also rank if the leaders aren't to be the smallest ids, ``details`` what ``plausible`` needs of each id; ``verify`` takes distinct pairs (a, b), a < b, and returns
     those that are links. First each list's leader, of the smallest (rank, id), is held against its other members: as many
     pairs as postings. Where a list's members are then in one component, no further link could join anything. In
     the other lists, each member outside of the list's largest component is held against all members of other components
     that ``plausible`` (of the two sides' aliases) allows. So every pair of a list is verified, or known to be in one component already.
     """
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "id")).alias("lead")).filter("n > 1")
-    lists = lists.select("key", F.col("lead.id").alias("leader"))
+    lead = F.min(F.struct("rank", "id"))["id"] if "rank" in postings.columns else F.min("id")
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), lead.alias("leader")).filter("n > 1").drop("n")
+    if "rank" not in postings.columns:  # few of many keys have a second member
+        lists = cut(lists)
+        postings = likely_among(postings, F.col("key"), lists, "key")
     shared = cut(postings.join(lists, "key"))
     pairs = shared.filter("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     links = cut(verify(pairs).select("a", "b"))
