@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, media, minhash, mixing, sharding
+from bidlake.llm import bpe, linededup, media, minhash, mixing, sharding
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +26,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored).drop("media_error")
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "line_group")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.byte_shards(_table(spark, sf_dir, "documents"), shards=8)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -52,7 +56,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op3_sharding": op3_sharding, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_minhash": op9_minhash}
+    return {"op1_media": op1_media, "op2_linededup": op2_linededup, "op3_sharding": op3_sharding, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
