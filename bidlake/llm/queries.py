@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, linededup, media, minhash, mixing, sharding
+from bidlake.llm import bpe, linededup, media, minhash, mixing, sharding, toxicity
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,6 +35,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
@@ -56,7 +61,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op2_linededup": op2_linededup, "op3_sharding": op3_sharding, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_minhash": op9_minhash}
+    return {"op1_media": op1_media, "op2_linededup": op2_linededup, "op3_sharding": op3_sharding, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
