@@ -111,6 +111,18 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first, by id, of their group of near-duplicates; rows without words all stay.
+
+    Of rows equal in id and text one stays.
+    """
+    found = cut(near_duplicates(docs, words, percent, id_col, text_col).select(id_col, "kept"))
+    ids = found.filter("kept").select(F.col(id_col).alias("_kept")).distinct()
+    stay = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = found.groupBy(id_col).count().filter("count > 1").limit(1).count()
+    return stay.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text") if repeated else stay
+
+
 def _alike(x: str, y: str, n: str, m: str, k: int, percent: int) -> Column:
     """Whether the share of the k smallest values of the union that both have allows the similarity; exact if the sketches are whole sets."""
     both = F.array_intersect(x, y)

@@ -120,3 +120,14 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = 7, id_col: str
     return known.join(taken, "_nth", "left").select(
         F.col("_id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"
     )
+
+
+def repeat_documents(docs: DataFrame, block: int = BLOCK, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Each row of ``docs`` as often as ``mix_sources`` goes through it, begun passes counted; rows that it doesn't take are left out.
+
+    Rows equal in id and source get the same number of copies, the largest of theirs. Columns stay as they are.
+    """
+    found = mix_sources(docs, block, seed, id_col, text_col, source_col).filter("taken > 0")
+    times = found.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    met = docs.join(times, docs[id_col].eqNullSafe(times["_id"]) & docs[source_col].eqNullSafe(times["_source"])).filter(word_count(docs[text_col]) > 0)
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -60,8 +60,23 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media": op1_media, "op2_linededup": op2_linededup, "op3_sharding": op3_sharding, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_minhash": op9_minhash}
+    return {
+        "op1_media": op1_media,
+        "op2_linededup": op2_linededup,
+        "op3_sharding": op3_sharding,
+        "op5_toxicity": op5_toxicity,
+        "op6_mixing": op6_mixing,
+        "op8_bpe": op8_bpe,
+        "op9_minhash": op9_minhash,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
