@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, linededup, media, minhash, mixing, sharding, toxicity
+from bidlake.llm import bpe, forest, linededup, media, minhash, mixing, sharding, toxicity
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,6 +35,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media": op1_media,
         "op2_linededup": op2_linededup,
         "op3_sharding": op3_sharding,
+        "op4_forest": op4_forest,
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op8_bpe": op8_bpe,
