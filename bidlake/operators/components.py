@@ -47,32 +47,46 @@ def list_components(
     verify: Callable[[DataFrame], DataFrame],
     plausible: Callable[[str, str], Column] | None = None,
     details: DataFrame | None = None,
+    percent: int = 0,
 ) -> DataFrame:
     """Components of the links that ``verify`` finds among pairs that share a key: (node, root) of linked nodes.
 
-    ``postings`` has (key, id), also rank if the leaders aren't to be the smallest ids, ``details`` what ``plausible`` needs of each id; ``verify`` takes distinct pairs (a, b), a < b, and returns
-    those that are links. First each list's leader, of the smallest (rank, id), is held against its other members: as many
-    pairs as postings. Where a list's members are then in one component, no further link could join anything. In
-    the other lists, each member outside of the list's largest component is held against all members of other components
-    that ``plausible`` (of the two sides' aliases) allows. So every pair of a list is verified, or known to be in one component already.
+    ``postings`` has (key, id), also rank if the leaders aren't to be the smallest ids, and size if linked ids are to have sizes of
+    which the smaller is at least ``percent`` % of the larger; ``details`` has what ``plausible`` needs of each id; ``verify`` takes
+    distinct pairs (a, b), a < b, and returns those that are links. First each list's leader, of the smallest (rank, id), is held
+    against its other members: as many pairs as postings. Where a list's members are then in one component, no further link
+    could join anything. In the other lists, each member outside of the list's largest component is held against all members of other
+    components that ``plausible`` (of the two sides' aliases) allows. So every pair of a list is verified, ruled out, or known
+    to be in one component already.
     """
-    lead = F.min(F.struct("rank", "id"))["id"] if "rank" in postings.columns else F.min("id")
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), lead.alias("leader")).filter("n > 1").drop("n")
-    if "rank" not in postings.columns:  # few of many keys have a second member
+    if "size" not in postings.columns:
+        postings = postings.withColumn("size", F.lit(1))
+
+    def fits(x: str, y: str) -> Column:
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    ranked = "rank" in postings.columns
+    lead = F.min(F.struct("rank", "id", "size")) if ranked else F.min(F.struct("id", "size")) if percent else F.struct(F.min("id").alias("id"), F.lit(1).alias("size"))
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), lead.alias("lead")).filter("n > 1")
+    lists = lists.select("key", "n", F.col("lead.id").alias("leader"), F.col("lead.size").alias("leader_size"))
+    if not ranked:  # few of many keys have a second member
         lists = cut(lists)
         postings = likely_among(postings, F.col("key"), lists, "key")
-    shared = cut(postings.join(lists, "key"))
-    pairs = shared.filter("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    links = cut(verify(pairs).select("a", "b"))
+    shared = cut(postings.select("key", "id", "size").join(lists, "key").filter("id != leader"))
+    ends = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
+    links = cut(verify(shared.filter(fits("size", "leader_size")).select(*ends).distinct()).select("a", "b"))
     known = connected_components(links)
-    placed = cut(shared.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    several = shared.filter("n > 2").select("key", "id", "size").join(known.withColumnRenamed("node", "id"), "id", "left")
+    placed = cut(several.withColumn("root", F.coalesce("root", "id")))
     counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     open_lists = counts.groupBy("key").agg(F.count(F.lit(1)).alias("_roots"), F.max(F.struct("n", "root")).alias("_most")).filter("_roots > 1")
-    members = placed.filter("id != leader").join(open_lists.select("key", F.col("_most.root").alias("most")), "key")
+    members = placed.join(open_lists.select("key", F.col("_most.root").alias("most")), "key")
     if details is not None:
-        members = cut(members.join(details, "id"))
+        members = members.join(details, "id")
+    members = cut(members)
     x, y = members.filter("root != most").alias("x"), members.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.id") < F.col("y.id")))
+    apart &= fits("x.size", "y.size")
     if plausible is not None:
         apart &= plausible("x", "y")
     rest = x.join(y, apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
