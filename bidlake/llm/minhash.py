@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -13,33 +15,61 @@ from pyspark.sql import functions as F
 
 from bidlake.llm.shingles import shingle_sets, text_chunks
 from bidlake.operators.components import list_components
+from bidlake.operators.prefilter import likely_among
 from bidlake.session import cut
 
-#: Retained values a sketch. Two sets linked at 0.8 share fewer than half of a full sketch with a chance below 1e-7.
-SKETCH = 64
+#: Retained values a sketch; sketches of sets linked at 0.8 have at least SHARED in common but for a chance below 1e-7.
+SKETCH, SHARED = 48, 22
+#: Bits of the parities of a whole set: as many differ as elements do, or fewer.
+PARITIES = 512
+_PARITY = [f"p{i}" for i in range(PARITIES // 64)]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int = SKETCH) -> DataFrame:
-    """(id, n_shingles, node, sketch): node is a digest of the whole set, null for an empty set; sketch its k smallest values."""
+def _batch(names: list[str], *columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=names)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
+
+
+def node_of(items: np.ndarray) -> int | None:
+    """A 63-bit digest of a whole set."""
+    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest()) >> 1 if len(items) else None
+
+
+def shingled(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, n_shingles, node) of every row; the node is null for an empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, ends in text_chunks(batch.column(1)):
-                sizes, nodes, kept = [], [], []
-                for found in shingle_sets(data, ends, words):
-                    sizes.append(len(found))
-                    nodes.append(digest(found) if len(found) else None)
-                    kept.append(found[:k])
-                offsets = np.cumsum([0, *map(len, kept)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(kept), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), lists], names=["id", "n_shingles", "node", "sketch"])
+                found = [(len(items), node_of(items)) for items in shingle_sets(data, ends, words)]
+                sizes, nodes = zip(*found)
+                yield _batch(["id", "n_shingles", "node"], batch.column(0).slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(work, f"id {kind}, n_shingles long, node binary, sketch array<long>")
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(work, f"id {kind}, n_shingles long, node long")
+
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int = SKETCH) -> DataFrame:
+    """(id, node, n, sketch, p0, p1, ...) of rows with words: the k smallest values of the set, and the parities of all."""
+    names = ["id", "node", "n", "sketch", *_PARITY]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, _, data, ends in text_chunks(batch.column(1)):
+                sets = [(at + i, items) for i, items in enumerate(shingle_sets(data, ends, words)) if len(items)]
+                odd = np.stack([np.zeros(PARITIES, np.uint8), *(np.bincount(items & (PARITIES - 1), minlength=PARITIES) & 1 for _, items in sets)])[1:].astype(np.uint8)
+                bits = np.packbits(odd, axis=1).view(np.int64)
+                ids = batch.column(0).take(pa.array([i for i, _ in sets], pa.int64()))
+                nodes, sizes = pa.array([node_of(items) for _, items in sets], pa.int64()), pa.array([len(items) for _, items in sets], pa.int64())
+                yield _batch(names, ids, nodes, sizes, _lists([items[:k] for _, items in sets]), *[pa.array(bits[:, i]) for i in range(len(_PARITY))])
 
-def digest(items: np.ndarray) -> bytes:
-    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, node long, n long, sketch array<long>, {', '.join(f'{p} long' for p in _PARITY)}"
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(work, schema)
 
 
 def full_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -49,68 +79,72 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for _, _, data, ends in text_chunks(batch.column(0)):
                 sets = [items for items in shingle_sets(data, ends, words) if len(items)]
-                offsets = np.cumsum([0, *map(len, sets)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), lists], names=["node", "items"])
+                yield _batch(["node", "items"], pa.array(map(node_of, sets), pa.int64()), _lists(sets))
 
-    return texts.mapInArrow(work, "node binary, items array<long>")
+    return texts.mapInArrow(work, "node long, items array<long>")
 
 
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's shingle-set size and the component of rows linked by 100 * intersection >= percent * union.
 
-    Sets equal as wholes are one node. Each node's k smallest hashes are its sketch. For the inverted lists, a sketch's
-    values are taken rarest first, and as many as a link can't avoid: all but one less than the values that linked sketches must share
-    (for sets no larger than ``k * percent / 100``, whose partners' sketches are whole sets too, that is exact; for larger ones half a sketch). Pairs
-    from the lists (see ``list_components``) go through an estimate on the smallest values of the union,
-    then through the exact count on full sets, read again from the texts.
+    Sets equal as wholes are one node. Each node's SKETCH smallest hashes are its sketch. For the inverted lists, a sketch's values
+    are taken rarest first, as many as a link can't avoid: all but one less than the values that linked sketches share (for sets no
+    larger than ``SKETCH * percent / 100``, whose partners' sketches are whole sets too, that is exact; for larger ones SHARED).
+    Pairs from the lists (see ``list_components``) must pass a bound on their differing elements that loses no link, the
+    parities, then an estimate on the smallest values of the union, then the exact count on full sets, read again from the texts.
 
-    Rows with a null or wordless text have an empty set and are their own component, as is each of several such rows; a
-    null id can't be named, so it never is a component's smallest id unless alone; repeated ids are rows of their own.
+    Rows with a null or wordless text have an empty set and are each their own component; a null id is only its component's
+    smallest where no other is; repeated ids are rows of their own. ``percent`` is to be 80 or more.
     Returns id, n_shingles, component_id, kept (id = component_id); an empty table gives no rows.
     """
-    rows = cut(sketches(docs, id_col, text_col, words, k))
-    named = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.min("n_shingles").alias("n"), F.min_by("sketch", "id").alias("sketch"), F.min("sketch").alias("_same"))
-    nodes = cut(named.withColumn("sketch", F.coalesce("sketch", "_same")).drop("_same"))
+    rows = cut(shingled(docs, id_col, text_col, words))
+    first = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("first_id"))
+    found = sketches(docs, id_col, text_col, words)
+    nodes = cut(found.drop("id").dropDuplicates(["node"]))
     values = nodes.select(F.col("node").alias("id"), "n", F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
-    often = values.groupBy("key").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    often = cut(values.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("f")).filter("f > 1"))
     mine = W.partitionBy("id")
-    whole = k * percent // 100
-    need = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(k // 2))
+    whole = SKETCH * percent // 100
+    need = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(SHARED))
     postings = (
-        values.join(often, "key")
+        likely_among(values, F.col("key"), often, "key")
+        .join(often, "key")
         .withColumn("rank", F.col("m") - F.count(F.lit(1)).over(mine))  # values that no other sketch has
         .withColumn("_at", F.col("rank") + F.row_number().over(mine.orderBy("f", "key")))
         .filter(F.col("_at") <= F.col("m") - need + 1)
-        .select("key", "id", "rank")
+        .select("key", "id", "rank", F.col("n").alias("size"))
     )
+    about = nodes.select(F.col("node").alias("id"), "n", *_PARITY)
 
-    def sizes_fit(x: str, y: str) -> Column:
-        a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & _alike(f"{x}.sketch", f"{y}.sketch", f"{x}.n", f"{y}.n", k, percent)
-
-    small = nodes.select(F.col("node"), "n", "sketch")
+    def near(x: str, y: str) -> Column:
+        return _differing(f"{x}.", f"{y}.") * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (small.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        likely = cut(pairs.join(x, "a").join(y, "b").filter(fit).filter(_alike("sa", "sb", "na", "nb", k, percent)).select("a", "b", "na", "nb"))
+        x, y = about.withColumnRenamed("id", "a").alias("x"), about.withColumnRenamed("id", "b").alias("y")
+        close = cut(pairs.join(x, "a").join(y, "b").filter(near("x", "y")).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")))
+        sx, sy = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        likely = cut(close.join(sx, "a").join(sy, "b").filter(_alike("sa", "sb", "na", "nb", percent)).select("a", "b", "na", "nb"))
         wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("_first")).distinct()
+        ids = first.join(wanted, "node", "left_semi").select(F.col("first_id").alias("_first")).distinct()
         texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_first")), "left_semi").select(text_col)
-        sets = cut(full_sets(texts, words).dropDuplicates(["node"]).join(wanted, "node", "left_semi"))
+        sets = full_sets(texts, words).join(wanted, "node", "left_semi").dropDuplicates(["node"])
         held = likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
         both = F.size(F.array_intersect("ia", "ib"))
         return held.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
-    found = list_components(postings, verify, sizes_fit, small.withColumnRenamed("node", "id"))
-    placed = nodes.select("node", "first_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = list_components(postings, verify, near, about, percent)
+    placed = first.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = placed.join(names, "root").select("node", "component_id")
-    out = rows.drop("sketch").join(placed, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = rows.join(placed, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _differing(x: str, y: str) -> Column:
+    """Bits in which two sets' parities differ: no more than elements that only one of them has."""
+    return reduce(add, [F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in _PARITY])
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first, by id, of their group of near-duplicates; rows without words all stay.
 
@@ -123,9 +157,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     return stay.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text") if repeated else stay
 
 
-def _alike(x: str, y: str, n: str, m: str, k: int, percent: int) -> Column:
-    """Whether the share of the k smallest values of the union that both have allows the similarity; exact if the sketches are whole sets."""
+def _alike(x: str, y: str, n: str, m: str, percent: int) -> Column:
+    """Whether the share of the smallest values of the union that both have allows the similarity; exact if the sketches are whole sets."""
     both = F.array_intersect(x, y)
-    least = F.slice(F.array_sort(F.array_union(x, y)), 1, k)
+    least = F.slice(F.array_sort(F.array_union(x, y)), 1, SKETCH)
     exact = 100 * F.size(both) >= percent * (F.col(n) + F.col(m) - F.size(both))
-    return F.when((F.col(n) <= k) & (F.col(m) <= k), exact).otherwise(F.size(F.array_intersect(least, both)) * 2 >= F.size(least))
+    return F.when((F.col(n) <= SKETCH) & (F.col(m) <= SKETCH), exact).otherwise(F.size(F.array_intersect(least, both)) >= SHARED)
