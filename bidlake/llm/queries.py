@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, forest, linededup, media, minhash, mixing, sharding, toxicity
+from bidlake.llm import bpe, forest, htmltext, linededup, media, minhash, mixing, sharding, toxicity
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -65,6 +65,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op8_bpe": op8_bpe,
         "op9_minhash": op9_minhash,
+        "op10_htmltext": op10_htmltext,
         "pipeline": pipeline,
     }
 
