@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, forest, htmltext, linededup, media, minhash, mixing, sharding, toxicity
+from bidlake.llm import bpe, forest, htmltext, linededup, media, minhash, mixing, quality, sharding, toxicity
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -49,6 +49,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
     encoded = bpe.bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_forest": op4_forest,
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
+        "op7_quality": op7_quality,
         "op8_bpe": op8_bpe,
         "op9_minhash": op9_minhash,
         "op10_htmltext": op10_htmltext,
