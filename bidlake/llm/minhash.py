@@ -124,6 +124,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
         close = cut(pairs.join(x, "a").join(y, "b").filter(near("x", "y")).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")))
         sx, sy = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
         likely = cut(close.join(sx, "a").join(sy, "b").filter(_alike("sa", "sb", "na", "nb", percent)).select("a", "b", "na", "nb"))
+        if not likely.head(1):
+            return likely
         wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = first.join(wanted, "node", "left_semi").select(F.col("first_id").alias("_first")).distinct()
         texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_first")), "left_semi").select(text_col)
