@@ -50,5 +50,10 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], latest: list[Column])
 def first_non_null(rows: DataFrame, group: list[str], order: str, scalars: list[str], lists: list[str]) -> DataFrame:
     """Merge a group's rows in order: scalars by their first value, lists joined without repeats."""
     chosen = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
-    sorted_lists = [F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(order, c))), lambda s, c=c: F.coalesce(s[c], F.array())))).alias(c) for c in lists]
+
+    def joined(c: str) -> Column:
+        in_order = F.sort_array(F.collect_list(F.struct(order, c)))
+        return F.array_distinct(F.flatten(F.transform(in_order, lambda s: F.coalesce(s.getField(c), F.array()))))
+
+    sorted_lists = [joined(c).alias(c) for c in lists]
     return rows.groupBy(*group).agg(*chosen, *sorted_lists)
