@@ -42,9 +42,6 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-ROUNDS = 2
-
-
 def _open_members(shared: DataFrame, known: DataFrame) -> DataFrame:
     """(key, id, size, root, most): members of lists with several components; most is the largest one's root."""
     several = shared.filter("n > 2").select("key", "id", "size").join(known.withColumnRenamed("node", "id"), "id", "left")
@@ -60,6 +57,7 @@ def list_components(
     plausible: Callable[[str, str], Column] | None = None,
     details: DataFrame | None = None,
     percent: int = 0,
+    rounds: int = 2,
 ) -> DataFrame:
     """Components of the links that ``verify`` finds among pairs that share a key: (node, root) of linked nodes.
 
@@ -69,7 +67,7 @@ def list_components(
     against its other members: as many pairs as postings. Where a list's members are then in one component, no further link
     could join anything. In the other lists, each member outside of the list's largest component is held against all members of other
     components that ``plausible`` (of the two sides' aliases) allows. So every pair of a list is verified, ruled out, or known
-    to be in one component already. Before that, ROUNDS times a member drawn from each list's largest component is held against those
+    to be in one component already. Before that, ``rounds`` times a member drawn from each list's largest component is held against those
     outside of it: where many are alike, each has links with many, and most are found without holding all against all.
     """
     if "size" not in postings.columns:
@@ -89,7 +87,7 @@ def list_components(
     ends = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
     links = cut(verify(shared.filter(fits("size", "leader_size")).select(*ends).distinct()).select("a", "b"))
     known = connected_components(links)
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         members = _open_members(shared, known)
         drawn = F.min(F.when(F.col("root") == F.col("most"), F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("draw"), "id", "size")))
         rest = members.filter("root != most").join(members.groupBy("key").agg(drawn.alias("other")), "key")
