@@ -8,25 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.operators.prefilter import likely_among
-from bidlake.session import cut
+from bidlake.session import cut, let_go
 
 
-def _finger(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node of (u, v) is a centre or has one centre: no u has two v's or is itself a v."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select("v", F.lit(0), F.lit(1)).toDF("node", "up", "down"))
+    held = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return held.filter((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).limit(1).count() == 0
 
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node that it is connected with.
 
-    Large and small stars alternate until nothing changes: a logarithmic number of rounds, each of which
+    Large and small stars alternate until only stars are left: a logarithmic number of rounds, each of which
     takes minima with map-side combining, so a hub with many neighbours is no group in one task. Each round is
-    checkpointed. Loops and repeated edges don't matter; edges with a null end are left out; without edges there are no rows.
+    checkpointed, and what the round before left on disk is let go. Loops and repeated edges don't matter; edges with a null
+    end are left out; without edges there are no rows.
     """
     u, v = F.greatest(left, right).alias("u"), F.least(left, right).alias("v")
     stars = cut(edges.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).select(u, v).distinct())
-    seen = _finger(stars)
-    while seen[0]:
+    while not _only_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -34,14 +36,17 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         stars = cut(small.select("e.*").filter("u != v").distinct())
-        now = _finger(stars)
-        if now == seen:
-            break
-        seen = now
+        del both, least, large, small
+        let_go(edges.sparkSession)
     roots = stars.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _joined(known: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``known`` after further links: the old ones come as the stars that they are, not as their links."""
+    return connected_components(known.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def _open_members(shared: DataFrame, known: DataFrame) -> DataFrame:
     """(key, id, size, root, most): members of lists with several components; most is the largest one's root."""
     several = shared.filter("n > 2").select("key", "id", "size").join(known.withColumnRenamed("node", "id"), "id", "left")
@@ -87,6 +92,8 @@ def list_components(
     ends = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
     links = cut(verify(shared.filter(fits("size", "leader_size")).select(*ends).distinct()).select("a", "b"))
     known = connected_components(links)
+    del links
+    let_go(postings.sparkSession)
     for turn in range(rounds):
         members = _open_members(shared, known)
         drawn = F.min(F.when(F.col("root") == F.col("most"), F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("draw"), "id", "size")))
@@ -95,8 +102,9 @@ def list_components(
         more = cut(verify(rest).select("a", "b"))
         if not more.head(1):
             break
-        links = cut(links.unionByName(more).distinct())
-        known = connected_components(links)
+        known = _joined(known, more)
+        del members, rest, more
+        let_go(postings.sparkSession)
     members = _open_members(shared, known)
     if details is not None:
         members = members.join(details, "id")
@@ -108,4 +116,4 @@ def list_components(
         apart &= plausible("x", "y")
     rest = x.join(y, apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = cut(verify(rest).select("a", "b"))
-    return connected_components(links.unionByName(more)) if more.head(1) else known
+    return _joined(known, more) if more.head(1) else known

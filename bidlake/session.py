@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +35,12 @@ def cut(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files, and checkpoints if it is set to, of frames that nothing refers to any more.
+
+    It does so when the driver collects garbage, which in a loop of many small rounds may come only after the last.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
