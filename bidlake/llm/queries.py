@@ -95,5 +95,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: All pairs of documents that share a two-word shingle, counted; components by walking the links.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts
+), followed AS (
+    SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM words
+), shingles AS (
+    SELECT DISTINCT doc_id, word || ' ' || after AS s FROM followed WHERE after IS NOT NULL
+    UNION ALL SELECT doc_id, w[1] FROM texts WHERE len(w) = 1
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), sized AS (
+    SELECT * FROM shingles JOIN sizes USING (doc_id)
+), links AS (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM sized x JOIN sized y ON x.s = y.s AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+    GROUP BY a, b HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))
+), steps AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, steps.b FROM reached JOIN steps ON reached.b = steps.a
+), named AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM named LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_minhash": NEAR_DUPLICATES_SQL}
