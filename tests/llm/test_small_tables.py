@@ -62,6 +62,19 @@ def test_line_dedup(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_counts_every_word(spark):
+    """No line is sampled: numbers only, one word over and over, near copies on either side of 60,000 words."""
+    numbers = " ".join(str(i) for i in range(30_001))
+    many = " ".join(["the"] * 100_000)
+    texts = [numbers, numbers, many, many]
+    found = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_removed"]) for r in found} == {(0, 0), (1, 1), (2, 0), (3, 1)}
+    near = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i % 701 % 25)}" for i in range(n)) for n in (59_999, 60_001)]
+    rows = spark.createDataFrame([(i, i, 0, line, i) for i, line in enumerate([many, "the", *near])], "_id long, _text long, _at int, _line string, line long")
+    sims = {r["_id"]: r["sim"] for r in linededup.simhashes(rows).collect()}
+    assert sims[0] == sims[1] and ((sims[2] ^ sims[3]) & (1 << 64) - 1).bit_count() <= 3
+
+
 def test_shards(docs, empty):
     found = sharding.byte_shards(docs, 3).collect()
     assert len(found) == len(ROWS)
