@@ -160,3 +160,36 @@ def test_kept_documents_have_no_close_pair(spark):
         words = regex.findall(r"[^\x20\x09-\x0D]+", regex.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
     assert not [1 for a, b in combinations(filter(None, sets), 2) if 100 * len(a & b) >= 80 * len(a | b)]
+
+
+def test_line_dedup_recall_of_edit_similarity(spark):
+    """Pairs of the smallest scale and of invented short and long lines, by edit similarity alone."""
+    normal = lambda line: regex.sub(r"\p{N}+", "0", regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower())).strip(" ")
+    texts = dict(rows("documents", "doc_id, text"))
+    words = sorted({w for t in texts.values() for w in normal(t or "").split(" ") if len(w) > 3})
+    draw = np.random.default_rng(1)
+    for n in (1, 2, 6, 10, 30, 60):
+        for k in range(20):
+            line = list(draw.choice(words, n))
+            other = [line[0][:-1] + "q", *line[1:]] if n < 6 else [*line[:-2], str(draw.choice(words)), line[-1]]
+            texts[10_000_000 + 1000 * n + k] = " ".join(line) + "\n" + " ".join(other)
+    names = sorted({normal(line) for t in texts.values() for line in (t or "").split("\n")} - {""}, key=len)
+    lengths = np.array([len(x) for x in names])
+    letters = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 32, minlength=32) for x in names])
+    pairs = []
+    for i, x in enumerate(names):  # no pair of fewer edits has more letters of one kind apart
+        end = np.searchsorted(lengths, lengths[i] * 100 / linededup.PERCENT + 1, side="right")
+        apart = letters[i + 1 : end] - letters[i]
+        edits = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+        pairs += [(x, names[j]) for j in (np.flatnonzero(edits <= lengths[i + 1 : end] * (100 - linededup.PERCENT) // 100) + i + 1).tolist()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p AS SELECT unnest($1) AS a, unnest($2) AS b", [[a for a, _ in pairs], [b for _, b in pairs]])
+    pairs = con.execute(f"SELECT a, b FROM p WHERE levenshtein(a, b) <= length(b) * {100 - linededup.PERCENT} // 100").fetchall()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    group = {}
+    for r in linededup.dedup_lines(docs).collect():
+        group |= {normal(line): g for line, g in zip((texts[r["doc_id"]] or "").split("\n"), r["line_group"] or [])}
+    for short in (True, False):
+        held = [group[a] is not None and group[a] == group[b] for a, b in pairs if (len(b) < 50) == short]
+        assert len(held) >= 40
+        assert np.mean(held) >= (0.9 if short else 0.95), (short, sum(held), len(held))
