@@ -91,6 +91,37 @@ def _(spark, d):
     return bridge.table(spark, d, "pages").select("page_id", classify.redacted(text).alias("text"))
 
 
+# The same functions over every whole page or text, beside the fixed snippets above, whose SQL stays as it is.
+@query("login_wall_pages")
+def _(spark, d):
+    return bridge.table(spark, d, "pages").select("page_id", pages.login_wall(F.col("html")).alias("w")).select("page_id", "w.*")
+
+
+_FIRST_KEYWORD = " ".join(f"WHEN contains(lower(html), '{k}') THEN {len(pages.KEYWORDS) - i}" for i, k in enumerate(pages.KEYWORDS))
+
+
+@query("keyword_score_pages", f"SELECT page_id, CASE {_FIRST_KEYWORD} ELSE 0 END AS score FROM pages")
+def _(spark, d):
+    return bridge.table(spark, d, "pages").select("page_id", pages.keyword_score(F.col("html")).alias("score"))
+
+
+@query("injection_scan_texts")
+def _(spark, d):
+    return _texts(spark, d).select("kind", "id", F.size(classify.injection_hits(F.col("text"))).alias("hits"))
+
+
+@query("redaction_texts")
+def _(spark, d):
+    return _texts(spark, d).select("kind", "id", classify.redacted(F.col("text")).alias("text"))
+
+
+def _texts(spark, d):
+    """(kind, id, text) of every page and document; null texts are empty."""
+    found = bridge.table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    found = found.unionByName(bridge.table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"))
+    return found.withColumn("text", F.coalesce("text", F.lit("")))
+
+
 @query(
     "archive_urls",
     oracle("SELECT id, CASE WHEN known_type = 'satellite' THEN concat('https://www.dtvp.de/Satellite/public/company/project/', pid, '/de/documents/archive/Vergabeunterlagen_', pid, '.zip') END AS zip_url FROM (SELECT id, known_type, substring(url, 39) AS pid FROM items)").replace("substring(url, 39)", "substring(url, length('https://www.dtvp.de/Satellite/notice/') + 1)"),

@@ -377,6 +377,13 @@ def _(spark, d):
     return bridge.jobs(spark, d).filter((F.col("id") % 5 == 0) & (F.col("created_at") < cutoff)).select("id", "submitted_by")
 
 
+@query("stuck_running_jobs", oracle("SELECT id, submitted_by FROM jobs WHERE created_at < TIMESTAMP '1998-01-01 00:00:00' - INTERVAL 30 MINUTES AND id IN (SELECT job_id FROM items WHERE status = 'pending')"))
+def _(spark, d):
+    cutoff = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 30 MINUTES")
+    running = bridge.job_items(spark, d).groupBy(F.col("job_id").alias("id")).agg(F.bool_or(F.col("status") == "pending").alias("running")).filter("running")
+    return bridge.jobs(spark, d).filter(F.col("created_at") < cutoff).join(running, "id", "left_semi").select("id", "submitted_by")
+
+
 @query("backup_urls", oracle("SELECT i.id, b.url AS backup_url FROM items i JOIN (SELECT domain, max(url) AS url FROM items GROUP BY 1) b ON i.domain = b.domain WHERE i.status = 'failed'"))
 def _(spark, d):
     items = bridge.job_items(spark, d)
