@@ -98,7 +98,7 @@ def features(text: str, words: Words) -> list[float]:
     capitals, letters = int(counts[65:91].sum()), int(counts[65:91].sum() + counts[97:123].sum())
     size = len(data)
     return [
-        math.log1p(n), have[0], have[0] / n, have[1], have[1] / n, len({tokens[i].strip(STRIP).lower() for i in hit[:5000]}), have[5], near / max(1, len(hit)),
+        math.log1p(n), have[0], have[0] / n, have[1], have[1] / n, len({tokens[i].strip(STRIP).lower() for i in hit}), have[5], near / max(1, len(hit)),
         have[2] / n, capitals / max(1, letters), have[3] / n, counts[33] / size, counts[63] / size, counts[_PUNCT].sum() / size, counts[48:58].sum() / size, have[4] / n, have[6] / n,
     ]
 

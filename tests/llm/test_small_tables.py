@@ -75,6 +75,13 @@ def test_line_dedup_counts_every_word(spark):
     assert sims[0] == sims[1] and ((sims[2] ^ sims[3]) & (1 << 64) - 1).bit_count() <= 3
 
 
+def test_toxicity_counts_all_hits():
+    first, second = sorted(w for w in toxicity.SEED if w.isalpha())[:2]
+    words = toxicity.Words(frozenset())
+    at = toxicity.FEATURES.index("distinct_hits")
+    assert toxicity.features(f"{first} " * 6_000 + second, words)[at] == 2
+
+
 def test_shards(docs, empty):
     found = sharding.byte_shards(docs, 3).collect()
     assert len(found) == len(ROWS)
