@@ -148,15 +148,17 @@ def _differing(x: str, y: str) -> Column:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first, by id, of their group of near-duplicates; rows without words all stay.
+    """The rows of ``docs`` that are the first, by id and hash of the text, of their group of near-duplicates; rows without words all stay.
 
-    Of rows equal in id and text one stays.
+    Of rows equal in id and text one stays. Only where ids are repeated do keys carry the hash; else ids alone say as much.
     """
-    found = cut(near_duplicates(docs, words, percent, id_col, text_col).select(id_col, "kept"))
-    ids = found.filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    stay = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = found.groupBy(id_col).count().filter("count > 1").limit(1).count()
-    return stay.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text") if repeated else stay
+    if docs.groupBy(id_col).count().filter("count > 1").limit(1).count():
+        key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))  # a null id comes last
+        keyed, name = docs.withColumn("_key", key).dropDuplicates([id_col, "_key"]), "_key"
+    else:
+        keyed, name = docs, id_col
+    found = cut(near_duplicates(keyed, words, percent, name, text_col).filter("kept").select(F.col(name).alias("_kept")))
+    return keyed.join(found, F.col(name).eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
 
 
 def _alike(x: str, y: str, n: str, m: str, percent: int) -> Column:

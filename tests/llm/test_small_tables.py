@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from bidlake.llm import bpe, forest, htmltext, linededup, media, minhash, mixing, quality, sharding, toxicity
@@ -149,6 +150,13 @@ def test_near_duplicates(docs, empty):
     assert sorted(str(r["doc_id"]) for r in minhash.keep_one(docs).collect()) == sorted(map(str, (1, 3, 4, 5, None, 7, 8)))
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(0, one), (1, one + " more"), (1, two), (2, two), (None, two), (1, two), (None, None)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(str(Row(doc_id=i, text=t)) for i, t in [(0, one), (1, two), (None, None)])
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "<p>a<p>b<table><tr><td>x<td>yy<tr><td>zzz<td>1</table>", "t"), (2, None, "t"), (3, "", None), (4, "plain <b", "u"), (5, "<div>" * 3000 + "deep", None)], "page_id long, html string, title string")
     found = {r["page_id"]: r["text"] for r in htmltext.extract_text(pages).collect()}
