@@ -67,7 +67,7 @@ def list_components(
     """Components of the links that ``verify`` finds among pairs that share a key: (node, root) of linked nodes.
 
     ``postings`` has (key, id), also rank if the leaders aren't to be the smallest ids, and size if linked ids are to have sizes of
-    which the smaller is at least ``percent`` % of the larger; ``details`` has what ``plausible`` needs of each id; ``verify`` takes
+    which the smaller is at least ``percent`` % of the larger; without ranks, repeated rows count as one. ``details`` has what ``plausible`` needs of each id; ``verify`` takes
     distinct pairs (a, b), a < b, and returns those that are links. First each list's leader, of the smallest (rank, id), is held
     against its other members: as many pairs as postings. Where a list's members are then in one component, no further link
     could join anything. In the other lists, each member outside of the list's largest component is held against all members of other
@@ -77,18 +77,22 @@ def list_components(
     """
     if "size" not in postings.columns:
         postings = postings.withColumn("size", F.lit(1))
+    ranked = "rank" in postings.columns
 
     def fits(x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    ranked = "rank" in postings.columns
-    lead = F.min(F.struct("rank", "id", "size")) if ranked else F.min(F.struct("id", "size")) if percent else F.struct(F.min("id").alias("id"), F.lit(1).alias("size"))
+    if not ranked:  # few of many keys have a second member; two numbers a key find them
+        several = postings.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).filter("_low < _high").select("key")
+        several = cut(several)
+        let_go(postings.sparkSession)
+        postings = cut(likely_among(postings, F.col("key"), several, "key").join(several, "key").select("key", "id", "size").distinct())
+        del several
+    lead = F.min(F.struct("rank", "id", "size")) if ranked else F.min(F.struct("id", "size"))
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), lead.alias("lead")).filter("n > 1")
     lists = lists.select("key", "n", F.col("lead.id").alias("leader"), F.col("lead.size").alias("leader_size"))
-    if not ranked:  # few of many keys have a second member
-        lists = cut(lists)
-        postings = likely_among(postings, F.col("key"), lists, "key")
     shared = cut(postings.select("key", "id", "size").join(lists, "key").filter("id != leader"))
+    let_go(postings.sparkSession)
     ends = F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")
     links = cut(verify(shared.filter(fits("size", "leader_size")).select(*ends).distinct()).select("a", "b"))
     known = connected_components(links)

@@ -12,7 +12,8 @@ BITS = 1 << 24
 def likely_among(frame: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """Rows whose key may be among ``wanted``: all that are, and of the others about the filled share of the bits.
 
-    Null keys are left out. An exact join should follow; this only makes its input small.
+    Null keys are left out. An exact join should follow; this only makes its input small. That must be an inner join with
+    distinct keys: Spark moves a semi-join below this filter, so that all rows would be shuffled first.
     """
     bits = wanted.select((F.pmod(F.xxhash64(wanted_key), F.lit(BITS))).alias("_bit"))
     words = bits.groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_mask"))

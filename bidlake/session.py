@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,28 @@ def let_go(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def written(frame: DataFrame) -> tuple[DataFrame, str]:
+    """The frame written as compressed Parquet to a new folder of the shared checkpoint folder and read again, and that folder.
+
+    For wide rows of text, which a checkpoint would hold uncompressed. ``remove`` takes the folder away.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    frame.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder), folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``written`` has made, in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: list[str], stem: str = "_b") -> str:
+    """A prefix that none of the columns begins with, in either case, for columns that only a plan uses."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem += "_"
+    return stem
