@@ -71,9 +71,35 @@ def test_line_dedup_counts_every_word(spark):
     found = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["n_removed"]) for r in found} == {(0, 0), (1, 1), (2, 0), (3, 1)}
     near = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i % 701 % 25)}" for i in range(n)) for n in (59_999, 60_001)]
-    rows = spark.createDataFrame([(i, i, 0, line, i) for i, line in enumerate([many, "the", *near])], "_id long, _text long, _at int, _line string, line long")
-    sims = {r["_id"]: r["sim"] for r in linededup.simhashes(rows).collect()}
-    assert sims[0] == sims[1] and ((sims[2] ^ sims[3]) & (1 << 64) - 1).bit_count() <= 3
+    rows = spark.createDataFrame(list(enumerate([many, "the", *near, "the"])), "line long, _line string")
+    sims = {r["line"]: r["sim"] for r in linededup.line_classes(rows).collect()}
+    assert sims[0] == sims[1] == sims[4] and ((sims[2] ^ sims[3]) & (1 << 64) - 1).bit_count() <= 3
+    for n in (31_000, 40_000):
+        texts = [" ".join(["bar"] * n)] * 2 + [" ".join(["qux"] * n)] * 2
+        found = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {(r["doc_id"], r["n_removed"]) for r in found} == {(0, 0), (1, 1), (2, 0), (3, 1)}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["_id", "_text", "_at", "_marks", "_split", "_gone", "_groups", "line", "_b", "_bid", "group", "size", "key", "n_removed"]
+    docs = spark.createDataFrame([(i, "some line of words that comes again\n" + ("red apples", "a second train", "quiet water")[i], *map(str, range(len(names)))) for i in range(3)], ["doc_id", "text", *names])
+    found = linededup.dedup_lines(docs).collect()
+    assert [r["n_removed"] for r in sorted(found)] == [0, 1, 1]
+    assert all(r[c] == str(k) for r in found for k, c in enumerate(names) if c != "n_removed")
+
+
+def test_likely_among_stands_before_the_shuffle(spark):
+    """What keeps rows from being shuffled must not be moved above the exchange."""
+    from bidlake.operators.prefilter import likely_among
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        wanted = spark.range(100).select(F.col("id").alias("line")).distinct()
+        met = likely_among(spark.range(10_000).select(F.col("id").alias("line")), F.col("line"), wanted, "line").join(wanted, "line")
+        plan = met._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("SortMergeJoin") < plan.index("shiftrightunsigned")
 
 
 def test_toxicity_counts_all_hits():
