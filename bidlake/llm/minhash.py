@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from bidlake.llm.shingles import shingle_sets, text_chunks
 from bidlake.operators.components import list_components
 from bidlake.operators.prefilter import likely_among
-from bidlake.session import cut
+from bidlake.session import cut, unused
 
 #: Retained values a sketch; sketches of sets linked at 0.8 have at least SHARED in common but for a chance below 1e-7.
 SKETCH, SHARED = 48, 22
+#: Parts of 15 bits that may fall together within a sketch, so that fewer are counted as common; more do with a chance below 1e-7.
+COLLIDING = 4
 #: Bits of the parities of a whole set: as many differ as elements do, or fewer.
 PARITIES = 512
 _PARITY = [f"p{i}" for i in range(PARITIES // 64)]
@@ -114,10 +116,14 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
         .filter(F.col("_at") <= F.col("m") - need + 1)
         .select("key", "id", "rank", F.col("n").alias("size"))
     )
-    about = nodes.select(F.col("node").alias("id"), "n", *_PARITY)
+    parts = F.transform("sketch", lambda v: F.shiftrightunsigned(v, 24).bitwiseAND(0x7FFF).cast("short"))
+    about = nodes.select(F.col("node").alias("id"), "n", *_PARITY, parts.alias("parts"))
 
     def near(x: str, y: str) -> Column:
-        return _differing(f"{x}.", f"{y}.") * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+        """Not too many differing elements, and as many common parts of sketch values as linked sets have, or more."""
+        whole = (F.col(f"{x}.n") <= SKETCH) | (F.col(f"{y}.n") <= SKETCH)
+        apart = _differing(f"{x}.", f"{y}.") * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+        return apart & (whole | (F.size(F.array_intersect(f"{x}.parts", f"{y}.parts")) >= SHARED - COLLIDING))
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = about.withColumnRenamed("id", "a").alias("x"), about.withColumnRenamed("id", "b").alias("y")
@@ -127,9 +133,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
         if not likely.head(1):
             return likely
         wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = first.join(wanted, "node", "left_semi").select(F.col("first_id").alias("_first")).distinct()
-        texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_first")), "left_semi").select(text_col)
-        sets = full_sets(texts, words).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        ids = cut(first.join(wanted, "node").select(F.col("first_id").alias("_first"), F.xxhash64("first_id").alias("_hash")).distinct())
+        some = likely_among(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), F.xxhash64("_id"), ids, "_hash")  # nulls have a hash
+        texts = some.join(ids, (F.xxhash64("_id") == F.col("_hash")) & F.col("_id").eqNullSafe(F.col("_first"))).select("_text")
+        sets = full_sets(texts, words).join(wanted, "node").dropDuplicates(["node"])
         held = likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
         both = F.size(F.array_intersect("ia", "ib"))
         return held.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
@@ -152,13 +159,14 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
 
     Of rows equal in id and text one stays. Only where ids are repeated do keys carry the hash; else ids alone say as much.
     """
+    b = unused(docs.columns)
     if docs.groupBy(id_col).count().filter("count > 1").limit(1).count():
         key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))  # a null id comes last
-        keyed, name = docs.withColumn("_key", key).dropDuplicates([id_col, "_key"]), "_key"
+        keyed, name = docs.withColumn(f"{b}key", key).dropDuplicates([id_col, f"{b}key"]), f"{b}key"
     else:
         keyed, name = docs, id_col
-    found = cut(near_duplicates(keyed, words, percent, name, text_col).filter("kept").select(F.col(name).alias("_kept")))
-    return keyed.join(found, F.col(name).eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    found = cut(near_duplicates(keyed.select(name, text_col), words, percent, name, text_col).filter("kept").select(F.col(name).alias(f"{b}kept")))
+    return keyed.join(found, F.col(name).eqNullSafe(F.col(f"{b}kept")), "left_semi").select(*docs.columns)
 
 
 def _alike(x: str, y: str, n: str, m: str, percent: int) -> Column:
