@@ -1,75 +1,149 @@
-"""Quality by an interpolated modified Kneser-Ney model of letters, trained on trusted texts."""
+"""Quality by an interpolated modified Kneser-Ney model of letters, trained on trusted texts, with counts and scores joined by n-gram."""
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from bidlake.operators.prefilter import likely_among
-from bidlake.session import cut
-
-#: Letters of an n-gram; each takes 21 bits of its key, so any code points fit.
-ORDER, LETTER = 3, 21
-#: Letters of text worked on at once; n-grams of a shard of the score table, which bounds what a task holds of it.
-CHUNK, SHARD = 4_000_000, 4_000_000
-#: The share of trusted texts of a language that its threshold lets through, and the slack on their perplexity.
-QUANTILE, SLACK = 0.995, 1.1
+from pyspark.sql import types as T
+
+from bidlake.session import cut, let_go
+
+#: Letters of an n-gram, and bits of each in its key.
+ORDER, LETTER = 5, 12
+#: Code points below stand for themselves; all others share as many classes.
+PLAIN = 1 << LETTER - 1
+#: Letters of a chunk of texts, whose different n-grams are looked up together, and of those worked on at once.
+CHUNK, WINDOW = 32_000_000, 4_000_000
+#: The share of trusted texts of a language that its threshold lets through, and the slack on their perplexity; short texts have more, by so many letters' share.
+QUANTILE, SLACK, ALLOWED = 0.995, 1.2, 16
+#: One of so many trusted texts isn't trained on, so that thresholds are of texts that the model hasn't seen.
+UNSEEN = 4
+#: Languages up to which their thresholds are broadcast.
+LANGUAGES = 100_000
 START, END = 1, 2
-MASK = (1 << LETTER) - 1
-
 
-def letter_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end at each letter and at the end of each text, and where the texts begin in them.
 
-    Letters are in lower case, white space is a blank, digits are 0.
-    """
-    pad = chr(START) * (ORDER - 1)
-    code = np.frombuffer("".join(f"{pad}{t.lower()}{chr(END)}" for t in texts).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+def letter_codes(text: str) -> np.ndarray:
+    """Codes of a text between its ORDER - 1 starts and its end: lower case, white space as a blank, digits as 0."""
+    code = np.frombuffer(f"{chr(START) * (ORDER - 1)}{text.lower()}{chr(END)}".encode("utf-32-le", "replace"), np.uint32)
+    code = np.where(code < PLAIN, code, PLAIN + (code * np.uint32(2654435761) >> np.uint32(16)) % PLAIN).astype(np.uint16)
     code[(code >= 9) & (code <= 13)] = 32
     code[(code >= 48) & (code <= 57)] = 48
-    sizes = np.fromiter((len(t.lower()) + ORDER for t in texts), np.int64, len(texts))
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    keys = np.zeros(max(0, len(code) - ORDER + 1), np.int64)
+    return code
+
+
+def ngram_keys(codes: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams that end at each place from the ORDER-th on."""
+    keys = np.zeros(max(0, len(codes) - ORDER + 1), np.int64)
     for i in range(ORDER):
-        keys = (keys << LETTER) | code[i : i + len(keys)]
-    inside = np.ones(len(keys), bool)
-    for j in range(1, ORDER):
-        inside[np.minimum(begins[1:-1] - j, len(keys) - 1)] = False  # over the border of two texts
-    starts = begins[:-1] - (ORDER - 1) * np.arange(len(texts))
-    return keys[inside], starts
+        keys = (keys << LETTER) | codes[i : i + len(keys)]
+    return keys
+
 
+def pack(codes: np.ndarray) -> bytes:
+    """Codes as compressed bytes, low ones first."""
+    planes = np.concatenate([codes & 255, codes >> 8]).astype(np.uint8)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-def _chunks(texts: Iterator[str]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
 
+def unpack(data: bytes, n: int) -> np.ndarray:
+    """The codes that ``pack`` has packed."""
+    planes = np.frombuffer(pa.decompress(data, 2 * n, codec="zstd"), np.uint8)
+    return planes[:n].astype(np.uint16) | planes[n:].astype(np.uint16) << 8
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(gram, n): n-grams of all of (text, trusted), with their number in trusted texts."""
+
+def text_chunks(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(chunk, ids, langs, sizes, codes) of (id, lang, text) in a table bucketed by chunk, and its name.
+
+    A chunk has whole texts of one task, of at most about CHUNK letters or a single longer one. The bucketed table keeps the
+    texts where they are when n-grams come to them. A null text is an empty one.
+    """
+    spark = docs.sparkSession
+    kind, language = docs.schema["id"].dataType, docs.schema["lang"].dataType
+    schema = T.StructType().add("chunk", "long").add("ids", T.ArrayType(kind)).add("langs", T.ArrayType(language)).add("sizes", T.ArrayType(T.LongType())).add("codes", "binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags = iter(batch.column(1).to_pylist())
-            for chunk in _chunks(x.as_py() or "" for x in batch.column(0)):
-                keys, starts = letter_keys(chunk)
-                weights = np.repeat(np.array([bool(next(flags)) for _ in chunk]), np.diff(np.append(starts, len(keys))))
-                grams, place = np.unique(keys, return_inverse=True)
-                n = np.bincount(place, weights=weights, minlength=len(grams)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(grams), "n": pa.array(n)})
+        ids, langs, sizes, codes, number = [], [], [], [], TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((ids, id_type), (langs, lang_type), (sizes, pa.int64()))]
+            row = pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([pack(np.concatenate(codes))], pa.binary())], names=schema.names)
+            number += 1
+            for x in (ids, langs, sizes, codes):
+                x.clear()
+            return row
 
-    return texts.mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            id_type, lang_type = batch.column(0).type, batch.column(1).type
+            for key, lang, text in zip(*(batch.column(i) for i in range(3))):
+                codes.append(letter_codes(text.as_py() or ""))
+                ids.append(key.as_py())
+                langs.append(lang.as_py())
+                sizes.append(len(codes[-1]))
+                if sum(sizes[-1:]) >= CHUNK or (len(sizes) % 64 == 0 and sum(sizes) >= CHUNK):
+                    yield flush()
+        if sizes:
+            yield flush()
+
+    name = f"texts_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs.select("id", "lang", "text").mapInArrow(work, schema).write.bucketBy(buckets, "chunk").saveAsTable(name)
+    return spark.table(name), name
+
+
+def _windows(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts (from, to) of at most about WINDOW letters, or a single longer one."""
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > WINDOW:
+            yield at, i
+            at, held = i, 0
+        held += n
+    if len(sizes) > at:
+        yield at, len(sizes)
+
+
+def _text_keys(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams of texts that lie one after another, without those over their borders, and where each text's begin."""
+    keys = ngram_keys(codes)
+    inside = np.ones(len(keys), bool)
+    ends = np.cumsum(sizes)[:-1]
+    for j in range(1, ORDER):
+        inside[ends - j] = False
+    return keys[inside], np.cumsum(sizes - ORDER + 1) - (sizes - ORDER + 1)
+
+
+def count_ngrams(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(chunk, gram, n): each chunk's different n-grams, with their number in its trusted texts, whose (chunk, at) is in ``trusted``."""
+
+    def work(places: pa.Table, chunk: pa.Table) -> pa.Table:
+        if not len(chunk):
+            return pa.table({"chunk": pa.array([], pa.int64()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        sizes = np.array(chunk["sizes"][0].as_py(), np.int64)
+        codes = unpack(chunk["codes"][0].as_py(), int(sizes.sum()))
+        good = np.zeros(len(sizes), bool)
+        good[places["at"].to_numpy()] = True
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        every, own = [], []
+        for a, b in _windows(sizes.tolist()):
+            keys, starts = _text_keys(codes[begins[a] : begins[b]], sizes[a:b])
+            every.append(pc.unique(pa.array(keys)))
+            own.append(pc.value_counts(pa.array(keys[np.repeat(good[a:b], np.diff(np.append(starts, len(keys))))])))
+        grams = pa.chunked_array(every).unique().to_numpy()
+        values, counts = (np.concatenate([x.field(i).to_numpy() for x in own]) for i in (0, 1))
+        order = np.argsort(grams)
+        n = np.bincount(np.searchsorted(grams, values, sorter=order), weights=counts, minlength=len(grams)).astype(np.int64)
+        return pa.table({"chunk": pa.array(np.full(len(grams), chunk["chunk"][0].as_py())), "gram": pa.array(grams[order]), "n": pa.array(n)})
+
+    return trusted.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(work, "chunk long, gram long, n long")
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -111,96 +185,69 @@ def score_table(counts: DataFrame) -> DataFrame:
     return table.select("gram", F.log("p").alias("logp"))
 
 
-class Lookup:
-    """Scores by key in an open-addressed table."""
-
-    def __init__(self, grams: np.ndarray, scores: np.ndarray) -> None:
-        self.bits = max(4, math.ceil(math.log2(4 * len(grams) + 1)))
-        self.keys, self.scores = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
-        left = np.arange(len(grams))
-        at = self.place(grams)
-        while len(left):
-            free = self.keys[at] < 0
-            first = np.zeros(len(left), bool)
-            first[np.unique(np.where(free, at, -1), return_index=True)[1]] = True
-            first &= free
-            self.keys[at[first]], self.scores[at[first]] = grams[left[first]], scores[left[first]]
-            left, at = left[~first], (at[~first] + 1) & ((1 << self.bits) - 1)
-
-    def place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Scores of the keys; 0 for those that aren't in this table."""
-        at = self.place(keys)
-        there = self.keys[at]
-        out = np.where(there == keys, self.scores[at], 0.0)
-        left = np.flatnonzero((there != keys) & (there >= 0))
-        while len(left):
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            there = self.keys[at[left]]
-            hit = there == keys[left]
-            out[left[hit]] = self.scores[at[left[hit]]]
-            left = left[~hit & (there >= 0)]
-        return out
-
-
-def perplexity(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``n_letters`` (with the end of the text) and ``perplexity`` of each whole text under the model of the texts of ``trusted``.
-
-    The score table is gone through in shards of at most about SHARD n-grams; for each the texts are read once, and a text's sum grows by
-    what it has in this shard. Null texts are empty ones, which hold only their end. Without trusted texts all letters are equally likely.
-    """
-    both = count_ngrams(docs.select(text_col, F.lit(False))).unionByName(count_ngrams(trusted.select(text_col, F.lit(True))))
-    counts = cut(both.groupBy("gram").agg(F.sum("n").alias("n")))
-    table = cut(score_table(counts))
-    shards = max(1, math.ceil(table.count() / SHARD))
-    spark, scored = docs.sparkSession, docs.withColumn("_sum", F.lit(0.0))
-    for i in range(shards):
-        part = table.filter(F.pmod(F.xxhash64("gram"), F.lit(shards)) == i).toPandas()
-        shared = spark.sparkContext.broadcast((part["gram"].to_numpy(), part["logp"].to_numpy()))  # about SHARD rows
-        scored = _add_scores(scored, shared, text_col)
-    return scored.withColumn("perplexity", F.exp(-F.col("_sum") / F.col("n_letters"))).drop("_sum")
-
-
-def _add_scores(docs: DataFrame, shared, text_col: str) -> DataFrame:
-    kept = [c for c in docs.columns if c not in ("_sum", "n_letters")]
-    place = kept.index(text_col)
+def score_texts(chunks: DataFrame, scores: DataFrame) -> DataFrame:
+    """(id, lang, n_letters, perplexity) of every text of the chunks, given (chunk, gram, logp) of each chunk's n-grams."""
+    kinds = {f.name: f.dataType.elementType for f in chunks.schema.fields if f.name in ("ids", "langs")}
+    schema = T.StructType().add("id", kinds["ids"]).add("lang", kinds["langs"]).add("n_letters", "long").add("perplexity", "double")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(*shared.value)
-        for batch in batches:
-            sizes, sums = [], []
-            for chunk in _chunks(x.as_py() or "" for x in batch.column(place)):
-                keys, starts = letter_keys(chunk)
-                sums.append(np.add.reduceat(lookup.get(keys), starts))
-                sizes.append(np.diff(np.append(starts, len(keys))))
-            total = batch.column(len(kept)).to_numpy(zero_copy_only=False) + np.concatenate([np.zeros(0), *sums])
-            lengths = pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(total), lengths], names=[*kept, "_sum", "n_letters"])
+    def work(known: pa.Table, chunk: pa.Table) -> pa.Table:
+        if not len(chunk):
+            return pa.table({"id": [], "lang": [], "n_letters": [], "perplexity": []})
+        sizes = np.array(chunk["sizes"][0].as_py(), np.int64)
+        codes = unpack(chunk["codes"][0].as_py(), int(sizes.sum()))
+        grams, logp = known["gram"].combine_chunks(), known["logp"].to_numpy()
+        begins, sums = np.concatenate([[0], np.cumsum(sizes)]), []
+        for a, b in _windows(sizes.tolist()):
+            keys, starts = _text_keys(codes[begins[a] : begins[b]], sizes[a:b])
+            sums.append(np.add.reduceat(logp[pc.index_in(pa.array(keys), value_set=grams).to_numpy()], starts))
+        letters = sizes - ORDER + 1
+        return pa.table({"id": chunk["ids"][0].values, "lang": chunk["langs"][0].values, "n_letters": pa.array(letters), "perplexity": pa.array(np.exp(-np.concatenate(sums) / letters))})
+
+    return scores.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(work, schema)
 
-    schema = docs.select(*kept).schema.add("_sum", "double").add("n_letters", "long")
-    return docs.select(*kept, "_sum").mapInArrow(work, schema)
+
+def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(id, lang, n_letters, perplexity) of each whole text of (id, lang, text) under the model of the texts whose id is in ``trusted``.
+
+    The texts are packed in chunks. Each chunk gives its different n-grams; their counts are joined by n-gram, order by order, and each
+    n-gram's score goes back to the chunks that have it, so that nothing is collected and texts don't move. Null texts are empty ones, which hold
+    only their end; texts may have any length. Without trusted texts all letters are equally likely.
+    """
+    chunks, name = text_chunks(docs)
+    spark = docs.sparkSession
+    places = chunks.select("chunk", F.posexplode("ids").alias("at", "id")).join(trusted.select("id").distinct(), "id").select("chunk", "at")
+    grams = count_ngrams(chunks, cut(places))
+    counts = cut(grams.groupBy("gram").agg(F.sum("n").alias("n")))
+    scores = cut(score_table(counts))
+    let_go(spark)
+    found = cut(score_texts(chunks, grams.select("chunk", "gram").join(scores, "gram")))
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """(id, lang, n_letters, perplexity, threshold, kept) of every row of ``docs``.
+    """(id, lang, n_letters, perplexity, threshold, kept) of every row of ``docs``; other columns aren't read, whatever their names.
 
-    Trusted are the texts of ids that ``labels`` gives quality 1 and not toxic 1 (an id with several labels must have only such). A
-    text is kept if its perplexity is at most its language's threshold: ``slack`` times the quantile of that language's trusted
-    texts; languages without any, null among them, take that of all trusted texts; without trusted texts all are kept. Empty texts have
+    Trusted are the texts of ids that ``labels`` gives quality 1 and not toxic 1 (an id with several labels must have only such); one in
+    UNSEEN of them, by a hash of the id, isn't trained on. A text is kept if its perplexity is at most its language's threshold: ``slack`` times the
+    quantile of that language's unseen trusted texts, where it has none, of all its trusted ones; languages without any, null among
+    them, take that of all languages. A text's own threshold is higher by ALLOWED letters' share of its length; without trusted texts all are kept. Empty texts have
     one letter, their end, and are judged like others. Repeated rows are rows of their own.
     """
-    good = labels.groupBy(id_col).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1), F.lit(False))).alias("_trusted")).filter("_trusted")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    flags = cut(good.select(F.col(id_col).alias("_good")).distinct())
-    trusted = likely_among(rows, F.col("_id"), flags, "_good").join(flags, F.col("_id") == F.col("_good"), "left_semi")
-    found = perplexity(rows, trusted).drop("text")
-    scored = cut(found.join(flags, F.col("_id") == F.col("_good"), "left").withColumn("_trusted", F.col("_good").isNotNull()).drop("_good"))
-    at = F.percentile_approx("perplexity", quantile, 10_000)
-    trusted = scored.filter("_trusted")
-    by_lang = trusted.filter("lang is not null").groupBy("lang").agg((at * slack).alias("_own"))
-    overall = trusted.agg((at * slack).alias("_all"))
+    good = labels.groupBy(id_col).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1), F.lit(False))).alias("good")).filter("good")
+    flags = cut(good.select(F.col(id_col).alias("id")).filter("id is not null").distinct())
+    unseen = F.pmod(F.xxhash64("id"), F.lit(UNSEEN)) == 0
+    found = perplexity(docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), flags.filter(~unseen))
+    scored = cut(found.join(flags.withColumn("trusted", F.lit(True)), "id", "left"))
+
+    def levels(name: str) -> list[Column]:
+        return [(F.percentile_approx(F.when(some, F.col("perplexity")), quantile, 10_000) * slack).alias(f"{name}{i}") for i, some in enumerate((unseen, F.lit(True)))]
+
+    by_lang = cut(scored.filter("trusted and lang is not null").groupBy("lang").agg(*levels("own")))
+    if by_lang.count() <= LANGUAGES:
+        by_lang = F.broadcast(by_lang)
+    overall = scored.filter("trusted").agg(*levels("all"))
     held = scored.join(by_lang, "lang", "left").join(F.broadcast(overall))  # one row
-    threshold = F.coalesce("_own", "_all")
-    return held.select(F.col("_id").alias(id_col), "lang", "n_letters", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("kept"))
+    threshold = F.coalesce("own0", "own1", "all0", "all1") * (1 + ALLOWED / F.col("n_letters"))
+    kept = F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
+    return held.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_letters", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
