@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidlake.operators.running import running_totals
-from bidlake.session import cut
+from bidlake.session import cut, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, and the most times that a source is gone through.
@@ -128,6 +128,8 @@ def repeat_documents(docs: DataFrame, block: int = BLOCK, seed: int = 7, id_col:
     Rows equal in id and source get the same number of copies, the largest of theirs. Columns stay as they are.
     """
     found = mix_sources(docs, block, seed, id_col, text_col, source_col).filter("taken > 0")
-    times = found.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    met = docs.join(times, docs[id_col].eqNullSafe(times["_id"]) & docs[source_col].eqNullSafe(times["_source"])).filter(word_count(docs[text_col]) > 0)
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    b = unused(docs.columns)
+    most = F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(f"{b}times")
+    times = found.groupBy(F.col(id_col).alias(f"{b}id"), F.col("source").alias(f"{b}source")).agg(most)
+    met = docs.join(times, docs[id_col].eqNullSafe(times[f"{b}id"]) & docs[source_col].eqNullSafe(times[f"{b}source"])).filter(word_count(docs[text_col]) > 0)
+    return met.withColumn(f"{b}copy", F.explode(F.sequence(F.lit(1), F.col(f"{b}times")))).select(*docs.columns)
