@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlake.plans import content, procurement  # noqa: F401  content registers its queries, too
+from bidlake.plans import content, procurement, reports  # noqa: F401  all register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,12 +26,9 @@ def first_rule(text: Column, table: dict[str, list[str] | str], default: str) ->
 
 
 def looked_up(key: Column, table: dict[str, object], default: object) -> Column:
-    """A small dimension as CASE."""
-    groups: dict[object, list[str]] = {}
-    for k, v in table.items():
-        groups.setdefault(v, []).append(k)
-    case = reduce(lambda c, kv: c.when(key.isin(kv[1]), kv[0]), groups.items(), F.when(F.lit(False), F.lit(default)))
-    return case.otherwise(default)
+    """A small dimension as a map literal, so that the key, which may be a chain of patterns, is worked out once."""
+    entries = [F.lit(x) for pair in table.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*entries), key), F.lit(default))
 
 
 def url_type(url: Column) -> Column:
@@ -57,19 +54,19 @@ def _injected(order: list[str]) -> list[str]:
 def strategy_order(kind: Column, portal: Column) -> Column:
     """Strategies in the order in which they are tried."""
     literal = lambda order: F.array(*map(F.lit, _injected(order)))
-    by_order: dict[tuple[str, ...], list[str]] = {}
-    for name, order in rules.STRATEGY_ORDERS.items():
-        by_order.setdefault(tuple(order), []).append(name)
-    case = F.when(F.lit(False), literal(rules.FULL_ORDER))
-    for order, names in by_order.items():
-        case = case.when(kind.isin(names), literal(list(order)))
-    return case.when(portal.isin(rules.KNOWN_PLATFORMS), literal(rules.FULL_ORDER_KNOWN_PLATFORM)).otherwise(literal(rules.FULL_ORDER))
+    entries = [x for name, order in rules.STRATEGY_ORDERS.items() for x in (F.lit(name), literal(order))]
+    known = F.when(portal.isin(rules.KNOWN_PLATFORMS), literal(rules.FULL_ORDER_KNOWN_PLATFORM)).otherwise(literal(rules.FULL_ORDER))
+    return F.coalesce(F.try_element_at(F.create_map(*entries), kind), known)
 
 
 def next_strategy(order: Column, current: Column, enable_cua: bool = True) -> Column:
     """The strategy after ``current`` in its order, without the agent where that is off; null at the end."""
-    rest = F.slice(order, F.array_position(order, current).cast("int") + 1, F.lit(99))
-    return F.try_element_at(rest if enable_cua else F.filter(rest, lambda s: s != "cua"), F.lit(1))
+
+    def after(o: Column) -> Column:
+        rest = F.slice(o, F.array_position(o, current).cast("int") + 1, F.lit(99))
+        return F.try_element_at(rest if enable_cua else F.filter(rest, lambda s: s != "cua"), F.lit(1))
+
+    return F.transform(F.array(order), after)[0]  # so that the order is worked out once
 
 
 def error_category(message: Column) -> Column:
@@ -118,12 +115,13 @@ def wrapped(text: Column, most: int = 8000) -> Column:
 
 
 def url_guard(url: Column) -> Column:
-    """(allowed, reason): http and https only, and no private networks."""
+    """(allowed, reason): http and https only, and no private networks; a null URL, or one without a host, isn't allowed."""
+    url = F.coalesce(url, F.lit(""))
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
     host = F.regexp_replace(host, r"[\[\]]", "")
     private = reduce(lambda a, b: a | b, [host.rlike(p) for p in rules.PRIVATE_NETS])
-    reason = F.when(~scheme.isin("http", "https"), F.concat(F.lit("scheme not allowed: "), scheme)).when(private, F.concat(F.lit("private network blocked: "), host)).otherwise("ok")
+    reason = F.when(~scheme.isin("http", "https"), F.concat(F.lit("scheme not allowed: "), scheme)).when(host == "", "no host").when(private, F.concat(F.lit("private network blocked: "), host)).otherwise("ok")
     return F.struct((reason == "ok").alias("allowed"), reason.alias("reason"))
 
 

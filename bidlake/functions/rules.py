@@ -139,3 +139,34 @@ PRIVATE_NETS = [r"^127\.", r"^10\.", r"^192\.168\.", r"^172\.(1[6-9]|2[0-9]|3[0-
 
 STRATEGIES = ["existing", "deterministic", "adaptive", "llm_generated", "learned_route", "cua", "manual", "none"]
 STATUSES = ["pending", "running", "success", "partial", "failed"]
+
+# What each category says to people.
+REASONS: dict[str, str] = {
+    "timeout": "Request timed out — portal too slow or overloaded",
+    "network": "Network error — connection refused or reset by portal",
+    "dns": "DNS resolution failed — domain does not exist",
+    "ssl": "SSL/TLS error — certificate problem on portal",
+    "redirect_loop": "Redirect loop detected — URL keeps redirecting indefinitely",
+    "encoding_error": "Encoding/decode error — response could not be read (charset issue)",
+    "code_validation": "Generated scraper failed validation — unsafe or wrong signature",
+    "prompt_injection": "Prompt injection pattern detected in URL or page content",
+    "blocked_url": "URL blocked — private network or disallowed scheme (SSRF protection)",
+    "sandbox": "Sandbox resource limit exceeded — scraper used too much memory/CPU",
+    "login_required": "Login required — portal shows a sign-in wall (no hard 401/403)",
+    "registration_required": "Registration required — must create an account to access documents",
+    "auth": "Access denied (HTTP 401/403) — portal requires authentication",
+    "captcha": "CAPTCHA / bot detection triggered — Cloudflare or reCAPTCHA blocked access",
+    "not_found": "Page not found (HTTP 404) — URL may be expired or removed",
+    "rate_limit": "Rate limited (HTTP 429) — too many requests to portal",
+    "server_error": "Portal server error (5xx) — backend issue on the tender site",
+    "expired": "Tender expired or archived — documents no longer publicly available",
+    "maintenance": "Site under maintenance — try again later",
+    "js_required": "JavaScript required — page needs browser rendering, plain HTTP failed",
+    "empty_page": "Empty/blank page — portal loaded but returned no usable content",
+    "scraper_crash": "Scraper crashed — unhandled exception in generated or stored scraper code",
+    "no_documents": "No downloadable documents found on the page",
+    "storage": "File storage error — could not save to S3/MinIO",
+    "no_strategy": "No matching strategy — deterministic template does not apply",
+    "loop_exhausted": "LLM feedback loop exhausted — all iterations failed to produce valid scraper",
+    "unknown": "Unexpected error — check error_raw for details",
+}

@@ -127,21 +127,31 @@ def diagnostics(items: DataFrame) -> DataFrame:
 
 
 def error_report(items: DataFrame) -> DataFrame:
-    """A row for each failed attempt of failed items, also for items without attempts."""
+    """Failed items with category and risk of their message."""
     rows = items.filter(failed())
     category = classify.error_category(F.col("error_message"))
     return rows.select("job_id", "id", "domain", "strategy", "error_message", category.alias("category"), classify.error_risk(category).alias("risk"))
 
 
+def attempt_report(items: DataFrame, recorded: DataFrame) -> DataFrame:
+    """A row for each attempt of ``recorded`` (job_id, attempts_detail) of jobs with failed items; a failed item of a job without any keeps one row.
+
+    The attempts are exploded, and each carries its place, counted from 1.
+    """
+    failures = items.filter(failed()).select("job_id").distinct()
+    each = recorded.select("job_id", F.posexplode_outer("attempts_detail").alias("place", "a")).join(failures, "job_id")
+    return each.select("job_id", (F.col("place") + 1).alias("attempt"), F.col("a.id").alias("id"), F.col("a.strategy").alias("strategy"), F.col("a.success").alias("success"), F.col("a.duration_s").try_cast("double").alias("duration_s"))
+
+
 def batch_forecast(urls: DataFrame) -> DataFrame:
-    """One row on (position, url): all, different, repeated, expected successes in hundredths; only first occurrences count."""
-    nth = F.row_number().over(W.partitionBy("url").orderBy("position"))
-    kind = classify.url_type(F.col("url"))
-    rated = urls.withColumn("_dup", nth > 1).withColumn("_p", F.round(classify.expected_success(kind) * 100).cast("long"))
-    fresh = ~F.col("_dup")
-    return rated.agg(
-        F.count(F.lit(1)).alias("total"), _count(fresh).alias("unique"), _count(F.col("_dup")).alias("duplicates"), F.sum(F.when(fresh, F.col("_p"))).alias("expected_hundredths"),
-    )
+    """One row on (position, url): all, different, repeated, expected successes in hundredths; only first occurrences count.
+
+    Repeats are counted first, so that each different URL is classified once and a frequent one is no group in one task.
+    """
+    each = urls.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    rated = each.withColumn("p", F.round(classify.expected_success(classify.url_type(F.col("url"))) * 100).cast("long"))
+    total, different = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
+    return rated.agg(total.alias("total"), different.alias("unique"), (total - different).alias("duplicates"), F.sum("p").alias("expected_hundredths"))
 
 
 def histogram(items: DataFrame, bounds: list[int], column: str) -> DataFrame:
@@ -161,7 +171,7 @@ def consensus_recall(runs: DataFrame) -> DataFrame:
 
 
 def leaderboard(runs: DataFrame) -> DataFrame:
-    """Mean and median runtime, documents, and rank by successes."""
+    """Mean and median runtime, runtime a success, and rank by successes."""
     out = runs.groupBy("model").agg(
         F.count(F.lit(1)).alias("runs"), _count(F.col("success")).alias("solved"), (F.sum("runtime_units") / F.count(F.lit(1))).alias("mean_runtime"), F.median("runtime_units").alias("median_runtime"),
         (F.sum("runtime_units") / F.when(_count(F.col("success")) > 0, _count(F.col("success")))).alias("runtime_per_success"),
