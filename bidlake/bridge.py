@@ -43,7 +43,7 @@ MESSAGES: list[tuple[str, str]] = [
     ("max iterations", "loop_exhausted"),
     ("something odd", "unknown"),
 ]
-#: URL stems and their types and platforms.
+#: URL stems and their types and platforms: every type, and some that only look like one.
 URLS: list[tuple[str, str, str]] = [
     ("https://www.dtvp.de/Satellite/notice/", "satellite", "dtvp"),
     ("https://kfw.de/evergabe.bieter/api/supplier/external/deeplink/subproject/", "evergabe_deep", "evergabe_cosinex"),
@@ -60,6 +60,25 @@ URLS: list[tuple[str, str, str]] = [
     ("https://sam.gov/opp/", "us_sam", "unknown"),
     ("https://www.gets.govt.nz/tender/", "nz_gets", "unknown"),
     ("https://random-company.example.com/page/", "unknown", "unknown"),
+    ("https://www.miniportal.uzp.gov.pl/t/", "pl_miniportal", "unknown"),
+    ("https://www.contrataciondelestado.es/t/", "es_place", "unknown"),
+    ("https://www.base.gov.pt/t/", "pt_base", "unknown"),
+    ("https://www.eten.be/t/", "be_eprocure", "unknown"),
+    ("https://www.ausschreibungen.at/t/", "at_ausschreib", "unknown"),
+    ("https://www.simap.ch/t/", "ch_simap", "unknown"),
+    ("https://www.acquistinretepa.it/t/", "it_proc", "unknown"),
+    ("https://www.etenders.gov.ie/t/", "ie_etenders", "unknown"),
+    ("https://www.promitheus.gov.gr/t/", "eu_east", "unknown"),
+    ("https://www.canadabuys.canada.ca/t/", "ca_tenders", "unknown"),
+    ("https://www.comprasnet/t/", "latam", "unknown"),
+    ("https://www.gem.gov.in/t/", "in_gem", "unknown"),
+    ("https://www.gebiz.gov.sg/t/", "asia_other", "unknown"),
+    ("https://www.etenders.gov.za/t/", "africa", "unknown"),
+    ("https://www.tenders.gov.au/t/", "au_austender", "unknown"),
+    ("https://www.notsam.gov.example.com/a/", "us_sam", "unknown"),
+    ("https://example.org/Satellite/notices/", "unknown", "unknown"),
+    ("https://subreport.example.com/", "unknown", "unknown"),
+    ("https://x.example.de/NetServer/TenderingProcedureDetails?function=Other&id=", "unknown", "netserver"),
 ]
 
 
