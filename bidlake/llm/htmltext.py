@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,8 +36,10 @@ IMPLIED = {
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot li dt dd caption".split())
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I).search
 _blank = re.compile(r"[ \t\n\r\f\xa0]+")
-#: Elements inside one another that are rendered as such; deeper ones lie flat in the last.
-DEEPEST = 200
+#: Columns and rows that a cell spans at most, as HTML has it.
+SPAN = 1000
+#: Columns that lists and quotations indent by at most, so that deep pages don't become mostly blanks.
+INDENT = 80
 
 
 class Node:
@@ -56,17 +59,21 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.depth = 1
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections such as <![foo]> are skipped up to their end, whatever they are called; -1 if that is missing."""
+        return self.rawdata.find(">", i) + 1 or -1
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # places in the source aren't asked for
 
     def _end(self, names: frozenset[str], until: frozenset[str]) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].name in until:
-                return
+        at = len(self.open) - 1
+        while at > 0 and self.open[at].name not in until:
             if self.open[at].name in names:
                 del self.open[at:]
-                return self._end(names, until)
+            at -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
@@ -79,8 +86,9 @@ class TreeBuilder(HTMLParser):
             self.open.pop()
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
             self.open.append(node)
+            self.depth = max(self.depth, len(self.open))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -161,7 +169,7 @@ class Renderer:
             self.owe(space)
             held = self.indent
             if name in ("blockquote", "dd"):
-                self.indent += "    "
+                self.indent = (held + "    ")[:INDENT]
             self.children(node)
             self.indent = held
             self.owe(space)
@@ -189,7 +197,7 @@ class Renderer:
             held, before = self.indent, len(self.parts)
             self.put(mark)
             self.fresh = True
-            self.indent = held + " " * len(mark)
+            self.indent = (held + " " * len(mark))[:INDENT]
             self.children(child)
             if len(self.parts) <= before + 2 and self.parts[-1] == mark:
                 self.parts.pop()  # an empty item
@@ -205,18 +213,38 @@ class Renderer:
             self.owe(1)
         grid: list[list[tuple[list[str], int]]] = []
         widths: list[int] = []
+        held: dict[int, tuple[int, int]] = {}  # by column: rows below that a cell reaches into, and its columns
         for row in rows:
-            line, at = [], 0
-            for cell in row:
+            line, at, below = [], 0, {}
+            waiting = list(row)
+            while waiting or any(column >= at for column in held):
+                if at in held:
+                    left, span = held.pop(at)
+                    line.append(([""], span))
+                    if left > 1:
+                        below[at] = (left - 1, span)
+                    at += span
+                    continue
+                if not waiting:
+                    line.append(([""], 1))
+                    at += 1
+                    continue
+                cell = waiting.pop(0)
                 inner = Renderer()
                 inner.children(cell)
                 text = inner.text().split("\n")
-                span = int(cell.said["colspan"]) if re.fullmatch(r"[1-9]\d?", cell.said.get("colspan") or "") else 1
+                span, deep = spanned(cell, "colspan"), spanned(cell, "rowspan")
+                ahead = [column for column in held if column > at]
+                span = min(span, min(ahead) - at) if ahead else span
+                if deep > 1:
+                    below[at] = (deep - 1, span)
                 line.append((text, span))
                 widths += [0] * (at + span - len(widths))
                 if span == 1:
                     widths[at] = max(widths[at], *map(len, text))
                 at += span
+            widths += [0] * (at - len(widths))
+            held = below
             grid.append(line)
         for line in grid:
             if not any("".join(text) for text, _ in line):
@@ -235,9 +263,23 @@ class Renderer:
         return "\n".join(line.rstrip() for line in "".join(self.parts).split("\n")).strip("\n")
 
 
+def spanned(cell: Node, said: str) -> int:
+    number = cell.said.get(said) or ""
+    return min(SPAN, int(number)) if re.fullmatch(r"[1-9]\d{0,8}", number) else 1
+
+
 def plain(node: Node) -> str:
     """The text below a node, as it stands."""
-    return "".join(c if isinstance(c, str) else "\n" if c.name == "br" else "" if c.hidden else plain(c) for c in node.children)
+    parts, waiting = [], node.children[::-1]
+    while waiting:
+        child = waiting.pop()
+        if isinstance(child, str):
+            parts.append(child)
+        elif child.name == "br":
+            parts.append("\n")
+        elif not child.hidden:
+            waiting += child.children[::-1]
+    return "".join(parts)
 
 
 def cells(table: Node) -> tuple[list[list[Node]], list[Node]]:
@@ -285,7 +327,12 @@ def render(html: str) -> tuple[str, str]:
     builder.feed(html)
     builder.close()
     page = Renderer()
-    page.children(builder.root)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 8 * builder.depth + 1000))  # calls between Python functions need no stack of the machine
+    try:
+        page.children(builder.root)
+    finally:
+        sys.setrecursionlimit(limit)
     title = re.search(r"<title[^>]*>(.*?)</title\s*>", html, re.I | re.S)
     return _blank.sub(" ", title[1]).strip() if title else "", page.text()
 
@@ -295,7 +342,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
 
     Blocks stand on lines of their own, paragraphs, headings, lists and tables with a blank line around; list items have marks and
     indents, table cells are padded to columns. Scripts, styles, forms' choices, hidden elements and comments aren't visible.
-    Null or empty pages give empty texts; broken markup is read as far as it goes; text without tags is one
+    Pages may have any length and depth; a cell that spans rows leaves its columns empty below. Texts of SVG images and choices of
+    forms count as not visible. Null or empty pages give empty texts; broken markup is read as far as it goes; text without tags is one
     block. Equal pages give equal texts; other columns stay, clashing ones are replaced.
     """
     kept = [c for c in pages.columns if c not in (text_col, title_col)]
