@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlake.session import cut
+from bidlake.session import cut, unused
 
 #: Labelled rows that the models are fitted on at most, those with the smallest hashes; everything else covers all rows.
 SAMPLE = 20_000
@@ -170,22 +170,24 @@ def score_toxicity(
     able = {(x, y) for x in (False, True) for y in (0.0, 1.0)} <= classes
     learned = learn_lexicon(rows.filter("not _calibrates")) if able else []
     held = F.coalesce(fold(id_col) == 1, F.lit(False)).alias("held_out")
-    found = with_features(docs, text_col, learned)
+    b = unused([*docs.columns, "label"])
+    found = with_features(docs, text_col, learned, f"{b}features")
     if able:
-        fitted = cut(with_features(rows, "text", learned).select("label", "_calibrates", array_to_vector("_features").alias("_vector")))
-        learner = GBTClassifier(featuresCol="_vector", labelCol="label", predictionCol="_guess", maxIter=20, maxDepth=3, maxBins=64, seed=1)
-        trees = learner.fit(fitted.filter("not _calibrates").select("label", "_vector")).setRawPredictionCol("_raw").setProbabilityCol("_probability")
+        fitted = cut(with_features(rows, "text", learned, f"{b}features").select("label", "_calibrates", array_to_vector(f"{b}features").alias(f"{b}vector")))
+        learner = GBTClassifier(featuresCol=f"{b}vector", labelCol="label", predictionCol=f"{b}guess", maxIter=20, maxDepth=3, maxBins=64, seed=1)
+        trees = learner.fit(fitted.filter("not _calibrates").select("label", f"{b}vector")).setRawPredictionCol(f"{b}raw").setProbabilityCol(f"{b}probability")
 
         def rated(frame: DataFrame) -> DataFrame:
-            return trees.transform(frame).withColumn("_p", vector_to_array("_probability")[1])
+            return trees.transform(frame).withColumn(f"{b}p", vector_to_array(f"{b}probability")[1])
 
-        steps = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_calibrated").fit(rated(fitted.filter("_calibrates")).select("_p", "label"))
-        found = rated(found.withColumn("_vector", array_to_vector("_features")))
+        steps = IsotonicRegression(featuresCol=f"{b}p", labelCol="label", predictionCol=f"{b}calibrated").fit(rated(fitted.filter("_calibrates")).select(f"{b}p", "label"))
+        found = rated(found.withColumn(f"{b}vector", array_to_vector(f"{b}features")))
         bounds, values = [float(x) for x in steps.boundaries], [float(x) for x in steps.predictions]
-        found = found.withColumn("_score", _interpolated("_p", bounds, values))
+        found = found.withColumn(f"{b}score", _interpolated(f"{b}p", bounds, values))
     else:
-        found = found.withColumn("_score", 1 - F.exp(-20 * F.col("_features")[FEATURES.index("seed_density")]))
-    return found.select(*kept, held, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+        found = found.withColumn(f"{b}score", 1 - F.exp(-20 * F.col(f"{b}features")[FEATURES.index("seed_density")]))
+    score = F.col(f"{b}score")
+    return found.select(*kept, held, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
 
 
 def _interpolated(column: str, bounds: list[float], values: list[float]) -> F.Column:
