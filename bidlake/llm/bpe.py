@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidlake.llm.lexicon import Lexicon, compile_lexicon, ship
+from bidlake.session import cut
 
 # Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,10 +114,22 @@ def _chunks(texts: Iterable[str]) -> Iterator[list[str]]:
 
 
 def frequent_words(texts: DataFrame, text_col: str, words: int) -> list[bytes]:
-    """Pre-tokens of the most frequent stretches between blanks, over all texts; no more than ``words`` stretches come to the driver."""
+    """Pre-tokens of the most frequent stretches between blanks, over all texts; about ``words`` stretches come to the driver.
+
+    The count that so many stretches reach is taken from a table of counts, so that no task sends its own most frequent ones.
+    """
     stretches = texts.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = stretches.filter("n > 1 and length(word) between 1 and 60").orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    return sorted({piece.encode() for row in top for piece in split_all(f" {row[0]}")})
+    often = cut(stretches.filter("n > 1 and length(word) between 1 and 60"))
+    level = F.least(F.floor(F.log2("n") * 32), F.lit(2000)).cast("int").alias("level")  # few levels, each 2 % of a count wide
+    held, least = 0, None
+    for row in often.groupBy(level).count().orderBy(F.desc("level")).collect():
+        if held and held + row["count"] > words:
+            break
+        held, least = held + row["count"], row["level"]
+    if least is None:
+        return []
+    top = often.filter(F.floor(F.log2("n") * 32) >= least).orderBy(F.desc("n"), "word").limit(words).select("word") if held > words else often.filter(F.floor(F.log2("n") * 32) >= least).select("word")
+    return sorted({piece.encode() for row in top.collect() for piece in split_all(f" {row[0]}")})
 
 
 def bpe_encode(texts: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", words: int = LEXICON_WORDS) -> DataFrame:

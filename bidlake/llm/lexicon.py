@@ -103,18 +103,20 @@ class Lexicon:
         return found
 
 
-_FOLDER: list[str] = []
+#: By Spark application, the driver's folder of files that it carries.
+_FOLDERS: dict[str, str] = {}
 
 
 def ship(spark, data: bytes) -> str:
     """Have Spark carry the file to every executor, also to those that come later; gives its name there."""
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    if not _FOLDER:
-        _FOLDER.append(tempfile.mkdtemp(prefix="bidlake-lexicon-"))
-    path = Path(_FOLDER[0], name)
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        _FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="bidlake-lexicon-")
+    path = Path(_FOLDERS[context.applicationId], name)
     if not path.exists():
         partial = Path(f"{path}.{os.getpid()}")
         partial.write_bytes(data)
         partial.rename(path)
-        spark.sparkContext.addFile(str(path))
+        context.addFile(str(path))
     return name
