@@ -188,3 +188,80 @@ def test_html(spark):
     found = {r["page_id"]: r["text"] for r in htmltext.extract_text(pages).collect()}
     assert found[1] == "a\n\nb\n\nx   | yy\nzzz | 1" and found[2] == found[3] == "" and found[4].startswith("plain") and found[5] == "deep"
     assert htmltext.extract_text(pages.limit(0)).count() == 0
+
+
+def test_html_of_odd_pages():
+    assert htmltext.render("<![foo<p>x</p>") == ("", "x") and htmltext.render("a<![if IE]>b<![endif]>c")[1] == "abc"
+    assert htmltext.render("<div>" * 250 + "<script>var secret=1;</script><p style='display:none'>HIDDEN</p>shown")[1] == "shown"
+    assert htmltext.render("<div hidden>" + "<div>" * 300 + "</div>" * 300 + "STILL HIDDEN</div>ok")[1] == "ok"
+    assert htmltext.render("<div>" * 30_000 + "deep<b>er</b>")[1] == "deeper"
+    assert htmltext.render("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>")[1] == "a | b\n  | c\nd | e"
+    assert len(htmltext.render("<ul><li>" * 3_000 + "x")[1]) < 400_000
+
+
+def test_html_shows_all_visible_words(spark):
+    """Every word of a page's texts outside of unseen and hidden elements, by a plain reader of another kind."""
+    import re
+
+    from bidlake.llm.queries import op10_htmltext
+    from tests.oracle import SMALL
+
+    unseen = "|".join(sorted(htmltext.UNSEEN))
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    found = {r["page_id"]: r["text"] for r in op10_htmltext(spark, SMALL).collect()}
+    assert set(found) == set(pages)
+    held = 0
+    for page, html in pages.items():
+        if re.search(r"hidden|display|visibility|<input|<img|<textarea|&", html):
+            continue
+        bare = re.sub(rf"(?is)<!--.*?-->|<({unseen})\b[^>]*>.*?</\1\s*>", " ", html)
+        words = re.findall(r"\w{2,}", re.sub(r"(?s)<[^>]*>", " ", bare))
+        held += 1
+        assert sorted(words) == sorted(re.findall(r"\w{2,}", re.sub(r"(?m)^\s*\d+\. ", " ", found[page]))), page
+    print(held)
+
+
+def test_names_of_plans_may_be_columns(spark, labels):
+    names = ["_features", "_raw", "_probability", "_guess", "_vector", "_p", "_score", "_b", "_bid", "_times", "_kept", "_key"]
+    docs = spark.createDataFrame([(i, f"some words of text {i} that are told apart", "en", "s", *map(str, range(len(names)))) for i in range(6)], ["doc_id", "text", "lang", "source", *names])
+    many = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    for found in (toxicity.score_toxicity(docs, many), minhash.keep_one(docs), mixing.repeat_documents(docs)):
+        rows = found.collect()
+        assert rows and all(r[c] == str(k) for r in rows for k, c in enumerate(names))
+
+
+def test_quality_is_plain_kneser_ney(spark, monkeypatch):
+    """Perplexities by a plain interpolated model with Chen and Goodman's discounts."""
+    import math
+    from collections import Counter
+
+    texts = {1: "The cat sat on the mat.", 2: "The cat ate the rat, the rat sat.", 3: "A mat, a cat and a 12 hat", 4: None, 5: "zzz \U0001f600 qq"}
+    docs = spark.createDataFrame([(i, "en", t) for i, t in texts.items()], "id long, lang string, text string")
+    found = {r["id"]: r["perplexity"] for r in quality.perplexity(docs, spark.createDataFrame([(1,), (2,), (3,)], "id long")).collect()}
+    codes = {i: quality.letter_codes(t or "").tolist() for i, t in texts.items()}
+    n = quality.ORDER
+    counts = {n: Counter(tuple(codes[i][j - n : j]) for i in (1, 2, 3) for j in range(n, len(codes[i]) + 1))}
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts, contexts = {}, {}
+    for k, own in counts.items():
+        c = [sum(v == i for v in own.values()) for i in range(1, 5)]
+        y = c[0] / (c[0] + 2 * c[1]) if all(c) else 0
+        discounts[k] = [min(max(i - (i + 1) * y * c[i] / c[i - 1], 0.0), i) for i in (1, 2, 3)] if all(c) else [0.5, 1.0, 1.5]
+        for g, v in own.items():
+            total, left = contexts.get((k, g[:-1]), (0, 0.0))
+            contexts[k, g[:-1]] = total + v, left + discounts[k][min(v, 3) - 1]
+
+    def p(g: tuple) -> float:
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        k, lower = len(g), p(g[1:])
+        if (k, g[:-1]) not in contexts:
+            return lower
+        total, left = contexts[k, g[:-1]]
+        v = counts[k].get(g, 0)
+        return (v - min(v, discounts[k][min(v, 3) - 1]) if v else 0) / total + left / total * lower
+
+    for i, code in codes.items():
+        logs = [math.log(p(tuple(code[j - n : j]))) for j in range(n, len(code) + 1)]
+        assert math.isclose(found[i], math.exp(-sum(logs) / len(logs)), rel_tol=1e-9), i
