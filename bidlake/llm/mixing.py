@@ -59,15 +59,10 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
         "_cell", F.explode(F.sequence(F.floor(F.col("_low") * CELLS), F.least(F.lit(CELLS - 1).cast("long"), F.floor(F.col("_high") * CELLS))))
     ).select("_rank", "_low", "_high", "_cell", "_need")
     spark = targets.sparkSession
-    slots = targets.agg(F.coalesce(F.ceil(F.sum("target") / block), F.lit(0)).alias("n"))
-    parts = spark.sparkContext.defaultParallelism
+    n = targets.agg(F.coalesce(F.ceil(F.sum("target") / block), F.lit(0)).alias("n")).first()["n"]
     points = (
-        spark.range(parts, numPartitions=parts)
-        .join(F.broadcast(slots))  # one row
-        .select("n", (F.col("id") * F.ceil(F.col("n") / parts)).alias("a"), (F.col("id") * F.ceil(F.col("n") / parts) + F.ceil(F.col("n") / parts) - 1).alias("b"))
-        .withColumn("b", F.least(F.col("b"), F.col("n") - 1))
-        .filter("a <= b")
-        .select(F.explode(F.sequence("a", "b")).alias("at"))
+        spark.range(0, n)
+        .withColumnRenamed("id", "at")
         .withColumn("_u", ((F.col("at") + 1) % CYCLE * STEP % CYCLE) / F.lit(float(CYCLE)))
         .withColumn("_cell", F.floor(F.col("_u") * CELLS))
     )
@@ -78,8 +73,8 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     inside = ranked.join(F.broadcast(firsts), "_rank").select("at", "_rank", (F.col("_pos") - F.col("_first")).alias("slot"))  # a row a source
     short = shares.join(firsts, "_rank", "left").withColumn("_got", F.coalesce("_got", F.lit(0)))
     extra = (
-        short.filter("_got < _need").select("_rank", F.explode(F.sequence(F.col("_got"), F.col("_need") - 1)).alias("slot")).join(F.broadcast(slots))
-    ).select((F.col("n") + F.col("slot")).alias("at"), "_rank", "slot")
+        short.filter("_got < _need").select("_rank", F.explode(F.sequence(F.col("_got"), F.col("_need") - 1)).alias("slot"))
+    ).select((F.lit(n) + F.col("slot")).alias("at"), "_rank", "slot")
     return inside.unionByName(extra)
 
 
