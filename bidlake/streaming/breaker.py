@@ -68,14 +68,21 @@ def replay_breaker(events: DataFrame) -> DataFrame:
 
 
 def stream_breaker(events: DataFrame) -> DataFrame:
-    """The same over a stream; each micro-batch of a domain is taken in the order of time."""
+    """The same over a stream; each micro-batch of a domain is taken in the order of time, and micro-batches in the order of their coming.
+
+    A domain of which nothing has come for twice the reset time is forgotten, so that state doesn't grow without end.
+    """
 
     def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         out, held = _replay(key[0], pd.concat(list(parts)), state.get if state.exists else FRESH)
         state.update(held)
+        state.setTimeoutDuration(int(2000 * RESET))
         yield out
 
-    return events.groupBy("domain").applyInPandasWithState(work, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("domain").applyInPandasWithState(work, DECISION, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def limit_step(held: tuple[float, int], at: float, limit: int, window: float) -> tuple[tuple[float, int], bool]:

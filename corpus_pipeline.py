@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bidlake.llm import bpe, linededup, minhash, mixing, toxicity
 from bidlake.llm.queries import vocabulary_path
-from bidlake.session import ensure_checkpoint_dir
+from bidlake.session import ensure_checkpoint_dir, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,16 +56,18 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-#: SQL can't express the trained scores, the sketches or the token merges; tests hold each stage against plain code.
+#: SQL can't express the trained scores, the sketches or the token merges; tests hold the whole against plain code on a small corpus.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared checkpoint folder and read again."""
+    """All stages over ``documents``; what a stage returns is written to the shared checkpoint folder and read again, and let go after the next."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if k:
+            remove(spark, f"{folder}/{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
