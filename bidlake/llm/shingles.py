@@ -14,7 +14,7 @@ LETTERS[65:91] = LETTERS[97:123]
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text worked on at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
