@@ -19,8 +19,8 @@ from bidlake.session import cut, let_go
 ORDER, LETTER = 5, 12
 #: Code points below stand for themselves; all others share as many classes.
 PLAIN = 1 << LETTER - 1
-#: Letters of a chunk of texts, whose different n-grams are looked up together, and of those worked on at once.
-CHUNK, WINDOW = 32_000_000, 4_000_000
+#: Letters of a chunk of texts, whose different n-grams are looked up together, and of a piece of it, which are packed and worked on at once.
+CHUNK, WINDOW = 32_000_000, 1_000_000
 #: The share of trusted texts of a language that its threshold lets through, and the slack on their perplexity; short texts have more, by so many letters' share.
 QUANTILE, SLACK, ALLOWED = 0.995, 1.2, 16
 #: One of so many trusted texts isn't trained on, so that thresholds are of texts that the model hasn't seen.
@@ -60,36 +60,48 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def text_chunks(docs: DataFrame) -> tuple[DataFrame, str]:
-    """(chunk, ids, langs, sizes, codes) of (id, lang, text) in a table bucketed by chunk, and its name.
+    """(chunk, ids, langs, sizes, texts, codes) of (id, lang, text) in a table bucketed by chunk, and its name.
 
-    A chunk has whole texts of one task, of at most about CHUNK letters or a single longer one. The bucketed table keeps the
+    A chunk has whole texts of one task, of at most about CHUNK letters or a single longer one, packed in pieces of ``texts`` texts each. The bucketed table keeps the
     texts where they are when n-grams come to them. A null text is an empty one.
     """
     spark = docs.sparkSession
     kind, language = docs.schema["id"].dataType, docs.schema["lang"].dataType
-    schema = T.StructType().add("chunk", "long").add("ids", T.ArrayType(kind)).add("langs", T.ArrayType(language)).add("sizes", T.ArrayType(T.LongType())).add("codes", "binary")
+    schema = T.StructType().add("chunk", "long").add("ids", T.ArrayType(kind)).add("langs", T.ArrayType(language)).add("sizes", T.ArrayType(T.LongType())).add("texts", T.ArrayType(T.IntegerType())).add("codes", T.ArrayType(T.BinaryType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, langs, sizes, codes, number = [], [], [], [], TaskContext.get().partitionId() << 32
+        ids, langs, sizes, texts, pieces, held = [], [], [], [], [], []
+        number, letters, waiting = TaskContext.get().partitionId() << 32, 0, 0
+
+        def piece() -> None:
+            texts.append(len(held))
+            pieces.append(pack(np.concatenate(held)))
+            held.clear()
 
         def flush() -> pa.RecordBatch:
-            nonlocal number
-            lists = [pa.array([x], pa.list_(t)) for x, t in ((ids, id_type), (langs, lang_type), (sizes, pa.int64()))]
-            row = pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([pack(np.concatenate(codes))], pa.binary())], names=schema.names)
-            number += 1
-            for x in (ids, langs, sizes, codes):
+            if held:
+                piece()
+            columns = [(ids, id_type), (langs, lang_type), (sizes, pa.int64()), (texts, pa.int32()), (pieces, pa.binary())]
+            row = pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([x], pa.list_(t)) for x, t in columns]], names=schema.names)
+            for x, _ in columns:
                 x.clear()
             return row
 
         for batch in batches:
             id_type, lang_type = batch.column(0).type, batch.column(1).type
             for key, lang, text in zip(*(batch.column(i) for i in range(3))):
-                codes.append(letter_codes(text.as_py() or ""))
+                code = letter_codes(text.as_py() or "")
+                if held and waiting + len(code) > WINDOW:
+                    piece()
+                    waiting = 0
+                held.append(code)
                 ids.append(key.as_py())
                 langs.append(lang.as_py())
-                sizes.append(len(codes[-1]))
-                if sum(sizes[-1:]) >= CHUNK or (len(sizes) % 64 == 0 and sum(sizes) >= CHUNK):
+                sizes.append(len(code))
+                waiting, letters = waiting + len(code), letters + len(code)
+                if letters >= CHUNK:
                     yield flush()
+                    number, letters, waiting = number + 1, 0, 0
         if sizes:
             yield flush()
 
@@ -99,16 +111,13 @@ def text_chunks(docs: DataFrame) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def _windows(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Runs of texts (from, to) of at most about WINDOW letters, or a single longer one."""
-    at = held = 0
-    for i, n in enumerate(sizes):
-        if i > at and held + n > WINDOW:
-            yield at, i
-            at, held = i, 0
-        held += n
-    if len(sizes) > at:
-        yield at, len(sizes)
+def _pieces(chunk: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The pieces of a chunk: texts (from, to), their codes and their sizes."""
+    sizes, at = np.array(chunk["sizes"][0].as_py(), np.int64), 0
+    for n, packed in zip(chunk["texts"][0].as_py(), chunk["codes"][0].values):
+        own = sizes[at : at + n]
+        yield at, at + n, unpack(packed.as_py(), int(own.sum())), own
+        at += n
 
 
 def _text_keys(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +136,11 @@ def count_ngrams(chunks: DataFrame, trusted: DataFrame) -> DataFrame:
     def work(places: pa.Table, chunk: pa.Table) -> pa.Table:
         if not len(chunk):
             return pa.table({"chunk": pa.array([], pa.int64()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        sizes = np.array(chunk["sizes"][0].as_py(), np.int64)
-        codes = unpack(chunk["codes"][0].as_py(), int(sizes.sum()))
-        good = np.zeros(len(sizes), bool)
+        good = np.zeros(len(chunk["ids"][0]), bool)
         good[places["at"].to_numpy()] = True
-        begins = np.concatenate([[0], np.cumsum(sizes)])
         every, own = [], []
-        for a, b in _windows(sizes.tolist()):
-            keys, starts = _text_keys(codes[begins[a] : begins[b]], sizes[a:b])
+        for a, b, codes, sizes in _pieces(chunk):
+            keys, starts = _text_keys(codes, sizes)
             every.append(pc.unique(pa.array(keys)))
             own.append(pc.value_counts(pa.array(keys[np.repeat(good[a:b], np.diff(np.append(starts, len(keys))))])))
         grams = pa.chunked_array(every).unique().to_numpy()
@@ -193,14 +199,11 @@ def score_texts(chunks: DataFrame, scores: DataFrame) -> DataFrame:
     def work(known: pa.Table, chunk: pa.Table) -> pa.Table:
         if not len(chunk):
             return pa.table({"id": [], "lang": [], "n_letters": [], "perplexity": []})
-        sizes = np.array(chunk["sizes"][0].as_py(), np.int64)
-        codes = unpack(chunk["codes"][0].as_py(), int(sizes.sum()))
-        grams, logp = known["gram"].combine_chunks(), known["logp"].to_numpy()
-        begins, sums = np.concatenate([[0], np.cumsum(sizes)]), []
-        for a, b in _windows(sizes.tolist()):
-            keys, starts = _text_keys(codes[begins[a] : begins[b]], sizes[a:b])
+        grams, logp, sums = known["gram"].combine_chunks(), known["logp"].to_numpy(), []
+        for _, _, codes, sizes in _pieces(chunk):
+            keys, starts = _text_keys(codes, sizes)
             sums.append(np.add.reduceat(logp[pc.index_in(pa.array(keys), value_set=grams).to_numpy()], starts))
-        letters = sizes - ORDER + 1
+        letters = np.array(chunk["sizes"][0].as_py(), np.int64) - ORDER + 1
         return pa.table({"id": chunk["ids"][0].values, "lang": chunk["langs"][0].values, "n_letters": pa.array(letters), "perplexity": pa.array(np.exp(-np.concatenate(sums) / letters))})
 
     return scores.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(work, schema)
