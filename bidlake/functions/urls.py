@@ -155,13 +155,6 @@ def label(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9äöüß]+", " "))
 
 
-def is_label(line: Column) -> Column:
-    """A short line that ends in a colon, or at least two words in capitals only."""
-    words = F.filter(F.split(F.trim(line), r"\s+"), lambda w: w != "")
-    capitals = (F.size(words) >= 2) & F.forall(words, lambda w: w.rlike("^[A-ZÄÖÜ]+$"))
-    return F.coalesce(F.trim(line).endswith(":") & (F.length(F.trim(line)) < 60) | capitals, F.lit(False))
-
-
 def backoff(attempt: Column, base: float = 1.0, most: float = 8.0) -> Column:
     """Seconds before the next attempt, without the random part."""
     return F.least(F.lit(most), base * F.pow(F.lit(2.0), attempt - 1))

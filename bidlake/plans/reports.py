@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bidlake import bridge
 from bidlake.bridge import NOW, oracle
-from bidlake.functions import classify, rules, urls
+from bidlake.functions import classify, notices, rules, urls
 from bidlake.operators import analytics, ordered, reports
 from bidlake.plans.procurement import _case, query
 from bidlake.sources import datasets
@@ -432,3 +432,62 @@ def _(spark, d):
 def _(spark, d):
     delta = ordered.snapshot_delta(*bridge.snapshots(spark, d)).filter("change <> 'modified'")
     return delta.groupBy("change").agg(F.array_join(F.sort_array(F.collect_list("filename")), ",").alias("names"))
+
+
+# Notices
+_FORMS = ["yyyy-MM-dd", "dd/MM/yyyy", "d.M.yyyy", "dd.MM.yy", "d-MMM-yy", "d MMMM yyyy", "MMMM d, yyyy"]
+
+
+@query("iso_dates", """SELECT o_orderkey AS id, CASE cast(o_orderkey % 9 AS int) WHEN 7 THEN 'soon ' || o_orderkey WHEN 8 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value, CASE WHEN o_orderkey % 9 <> 8 THEN o_orderkey % 9 = 7 END AS low_confidence FROM orders""")
+def _(spark, d):
+    raw = F.when(F.col("o_orderkey") % 9 == 7, F.concat(F.lit("soon "), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 9 == 8, "  ")
+    for i, form in enumerate(_FORMS):
+        raw = raw.when(F.col("o_orderkey") % 9 == i, F.concat(F.lit("" if i == 3 else " bis "), F.date_format("o_orderdate", form)))
+    return bridge.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), notices.iso_date(raw).alias("f")).select("id", "f.value", "f.low_confidence")
+
+
+@query("tender_kinds", "SELECT doc_id, CASE cast(doc_id % 4 AS int) WHEN 0 THEN 'Restricted' WHEN 1 THEN 'RFQ' WHEN 2 THEN 'Open' END AS value, CASE cast(doc_id % 4 AS int) WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 WHEN 2 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence FROM documents")
+def _(spark, d):
+    text = F.element_at(F.array(*map(F.lit, ["A Selective Tender and RFQ", "this rfq", "Öffentliche Ausschreibung, RFQ", "a notice"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    return bridge.table(spark, d, "documents").select("doc_id", notices.tender_kind(text).alias("k")).select("doc_id", "k.value", "k.confidence")
+
+
+@query("labelled_values", """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS value, CASE WHEN c_custkey % 2 = 0 THEN 'one' || chr(10) || 'TWO WORDS' || chr(10) || 'three' ELSE 'one' || chr(10) || 'TWO WORDS' || chr(10) || 'three' || chr(10) || 'four of ' || c_custkey END AS body FROM customer""")
+def _(spark, d):
+    lit, c = F.lit, F.col
+    lines = F.array(lit("Notice"), lit("Name of Buyer:"), lit(""), F.when(c("c_custkey") % 3 == 0, "Address:").otherwise(F.concat(lit("  "), "c_name")), lit("Scope of work"), lit("one"), lit("TWO WORDS"), lit(" three"), F.when(c("c_custkey") % 2 == 0, "THE NEXT PART").otherwise(F.concat(lit("four of "), c("c_custkey").cast("string"))))
+    return bridge.table(spark, d, "customer").select(c("c_custkey").alias("id"), notices.value_below(lines, "name of buyer").alias("value"), notices.section_body(lines, ["scope of work"]).alias("body"))
+
+
+@query("table_values", """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'key_value' ELSE 'data_table' END AS layout, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS n_labels, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS buyer FROM customer""")
+def _(spark, d):
+    row = lambda *cells: F.array(*[F.lit(x) if isinstance(x, str) else x for x in cells])
+    pairs = F.array(row("Reference:", "R1"), row("Name of the Buyer:", "old"), row("", "x"), row("Name of the Buyer", F.col("c_name")))
+    data = F.array(row("a", "1", "x"), row("a", "2", "y"), row("a", "3", "z"), row(" A ", "4", ""))
+    rows = F.when(F.col("c_custkey") % 2 == 0, pairs).otherwise(data)
+    columns = F.when(F.col("c_custkey") % 2 == 0, 2).otherwise(3)
+    read = bridge.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), notices.layout(rows, columns).alias("layout"), notices.key_values(rows).alias("kv"))
+    return read.select("id", "layout", F.when(F.col("layout") == "key_value", F.size("kv")).otherwise(1).alias("n_labels"), F.when(F.col("layout") == "key_value", notices.value_of(F.col("kv"), ["buyer", "contracting authority"])).alias("buyer"))
+
+
+_BARE = "html"
+for _tag in ("script", "style", "header", "footer", "nav"):
+    _BARE = f"regexp_replace({_BARE}, '(?s)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
+
+
+@query("readable_pages", rf"SELECT page_id, trim(regexp_replace(regexp_replace({_BARE}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def _(spark, d):
+    return bridge.table(spark, d, "pages").select("page_id", notices.readable(F.col("html")).alias("text"))
+
+
+@query("link_points", f"""SELECT page_id, href, CASE WHEN {' OR '.join(f"contains(lower(href), '{x}')" for x in notices.NEVER)} THEN 0 WHEN {' OR '.join(f"contains(lower(href), '{x}')" for x in notices.ALL_AT_ONCE)} THEN 10
+WHEN ends_with(lower(href), '.zip') OR contains(lower(href), '.zip?') THEN 9 WHEN '.' || lower(regexp_extract(regexp_extract(href, '^([^?#]*)', 1), '\.([A-Za-z0-9]{{1,5}})$', 1)) IN ({', '.join(f"'{x}'" for x in urls.DOCUMENTS)}) THEN 3 ELSE 0 END AS points FROM ({_HREFS})""")
+def _(spark, d):
+    return _hrefs(spark, d).select("page_id", "href", notices.link_points(F.col("href"), urls.extension(F.col("href")), urls.DOCUMENTS).alias("points"))
+
+
+@query("folder_names", r"""SELECT doc_id, coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(substring(coalesce(text, ''), 1, 120)), '[\/:"*?<>|]', '', 'g'), '[ 	
+
+]+', '_', 'g'), '[^A-Za-z0-9_\-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80), ''), 'unknown') AS name FROM documents""")
+def _(spark, d):
+    return bridge.table(spark, d, "documents").select("doc_id", notices.folder_name(F.substring(F.coalesce("text", F.lit("")), 1, 120)).alias("name"))
