@@ -190,3 +190,47 @@ def test_line_dedup_recall_of_edit_similarity(spark):
         held = [group[a] is not None and group[a] == group[b] for a, b in pairs if (len(b) < 50) == short]
         assert len(held) >= 40
         assert np.mean(held) >= (0.9 if short else 0.95), (short, sum(held), len(held))
+
+
+def test_forest_recall_over_several_shards(spark, monkeypatch):
+    from bidlake.llm import forest
+
+    monkeypatch.setattr(forest, "SHARD", 120)
+    monkeypatch.setattr(forest, "BLOCK", 16)
+    test_forest_recall(spark)
+
+
+def test_media_features_by_plain_transform(spark):
+    """Equal texts have equal forms, and the stored form is a PNG that another reader's steps take apart."""
+    import struct
+    from itertools import groupby
+
+    from bidlake.llm import media
+
+    stored = media.store_text(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    column = next(name for name, kind in stored.dtypes if kind == "binary")
+    texts = dict(rows("documents", "doc_id, text"))
+    found = {r["doc_id"]: r for r in queries.op1_media(spark, SMALL).collect()}
+    for r in stored.select("doc_id", column).collect():
+        png = bytes(r[column])
+        assert (len(png), hashlib.sha256(png).hexdigest()) == (found[r["doc_id"]]["media_bytes"], found[r["doc_id"]]["media_sha256"])
+        at, packed, size = 8, b"", None
+        while at < len(png):
+            n, kind = struct.unpack(">I4s", png[at : at + 8])
+            data = png[at + 8 : at + 8 + n]
+            assert zlib.crc32(kind + data) == struct.unpack(">I", png[at + 8 + n : at + 12 + n])[0]
+            size = struct.unpack(">II", data[:8]) if kind == b"IHDR" else size
+            packed += data if kind == b"IDAT" else b""
+            at += 12 + n
+        width, height = size
+        raw, before, out = zlib.decompress(packed), bytearray(width), b""
+        for y in range(height):
+            kind, line = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+            for x in range(width):
+                line[x] = (line[x] + (line[x - 1] if kind == 1 and x else before[x] if kind == 2 else 0)) & 255
+            assert kind in (0, 1, 2)
+            before, out = line, out + bytes(line)
+        data = (texts[r["doc_id"]] or "").encode()
+        assert out == data + bytes(-len(data) % 64 or (0 if data else 64))
+    same = sorted((texts[i] or "", r["feature"]) for i, r in found.items())
+    assert all(len({f for _, f in g}) == 1 for _, g in groupby(same, key=lambda x: x[0]))
