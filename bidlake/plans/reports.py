@@ -481,7 +481,7 @@ def _(spark, d):
 
 
 @query("link_points", f"""SELECT page_id, href, CASE WHEN {' OR '.join(f"contains(lower(href), '{x}')" for x in notices.NEVER)} THEN 0 WHEN {' OR '.join(f"contains(lower(href), '{x}')" for x in notices.ALL_AT_ONCE)} THEN 10
-WHEN ends_with(lower(href), '.zip') OR contains(lower(href), '.zip?') THEN 9 WHEN '.' || lower(regexp_extract(regexp_extract(href, '^([^?#]*)', 1), '\.([A-Za-z0-9]{{1,5}})$', 1)) IN ({', '.join(f"'{x}'" for x in urls.DOCUMENTS)}) THEN 3 ELSE 0 END AS points FROM ({_HREFS})""")
+WHEN ends_with(lower(href), '.zip') OR contains(lower(href), '.zip?') THEN 9 WHEN '.' || lower(regexp_extract(regexp_extract(href, '^([^?#]*)', 1), '\\.([A-Za-z0-9]{{1,5}})$', 1)) IN ({', '.join(f"'{x}'" for x in urls.DOCUMENTS)}) THEN 3 ELSE 0 END AS points FROM ({_HREFS})""")
 def _(spark, d):
     return _hrefs(spark, d).select("page_id", "href", notices.link_points(F.col("href"), urls.extension(F.col("href")), urls.DOCUMENTS).alias("points"))
 
