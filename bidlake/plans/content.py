@@ -158,3 +158,18 @@ def _(spark, d):
 def _(spark, d):
     rows = bridge.table(spark, d, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return breaker.replay_limit(rows, 4, 3600.0)
+
+
+@query(
+    "extract_more_fields",
+    """SELECT c_custkey AS id, '05.03.1996' AS veroeffentlichung, '2024/S 123-' || lpad(c_custkey::VARCHAR, 6, '4') AS ted_reference, '60 Tage ab ' || c_custkey AS bindefrist, 'Ort ' || c_custkey AS leistungsort, c_custkey || ' Monate' AS laufzeit,
+'Frau ' || c_name AS contact_person, '+49 30 ' || lpad(c_custkey::VARCHAR, 7, '0') AS phone, '030 ' || lpad(c_custkey::VARCHAR, 7, '5') AS fax, 'DE30' || c_custkey % 10 AS nuts, 'Lieferung und Montage von ' || c_custkey || ' Geräten' AS leistungsbeschreibung,
+'Lieferauftrag' AS auftragsart, '1,2' AS lose, 'Preis 60 %|Qualität ' || c_custkey || ' Punkte' AS kriterien, NULL::VARCHAR AS titel FROM customer""",
+)
+def _(spark, d):
+    text = F.expr("""concat('Veröffentlichungsdatum: 05.03.1996\\nTED: 2024/S 123-', lpad(cast(c_custkey AS string), 6, '4'), '\\nBindefrist: 60 Tage ab ', c_custkey, '\\nErfüllungsort: Ort ', c_custkey, '\\nLaufzeit der Leistung: ', c_custkey, ' Monate\\nAnsprechpartner: Frau ', c_name,
+'\\nTelefon: +49 30 ', lpad(cast(c_custkey AS string), 7, '0'), '\\nFax: 030 ', lpad(cast(c_custkey AS string), 7, '5'), '\\nNUTS DE30', c_custkey % 10, '\\nLeistungsbeschreibung: Lieferung und Montage von ', c_custkey, ' Geräten\\nLos 1: Fenster und Türen\\nLos 2: Dächer ', c_custkey,
+'\\nZuschlagskriterien:\\n- Preis 60 %\\n- Qualität ', c_custkey, ' Punkte\\nEnde')""")
+    names = ["veroeffentlichung", "ted_reference", "bindefrist", "leistungsort", "laufzeit", "contact_person", "phone", "fax", "leistungsbeschreibung", "auftragsart", "titel"]
+    rows = bridge.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), fields.extract_fields(text).alias("f"))
+    return rows.select("id", *[f"f.{n}" for n in names], F.element_at("f.nuts_codes", 1).alias("nuts"), F.array_join("f.lose", ",").alias("lose"), F.array_join("f.zuschlagskriterien", "|").alias("kriterien"))
