@@ -48,12 +48,16 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], latest: list[Column])
 
 
 def first_non_null(rows: DataFrame, group: list[str], order: str, scalars: list[str], lists: list[str]) -> DataFrame:
-    """Merge a group's rows in order: scalars by their first value, lists joined without repeats."""
-    chosen = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
-
-    def joined(c: str) -> Column:
-        in_order = F.sort_array(F.collect_list(F.struct(order, c)))
-        return F.array_distinct(F.flatten(F.transform(in_order, lambda s: F.coalesce(s.getField(c), F.array()))))
+    """Merge a group's rows in order: scalars by their first value, lists joined without repeats.
 
-    sorted_lists = [joined(c).alias(c) for c in lists]
-    return rows.groupBy(*group).agg(*chosen, *sorted_lists)
+    Lists are taken apart first, and each different element of a group is one row with its first place, so that only those are collected.
+    """
+    chosen = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
+    merged = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"), *chosen)
+    for c in lists:
+        each = rows.select(*group, order, F.posexplode(c).alias("_at", "_element")).groupBy(*group, "_element").agg(F.min(F.struct(order, "_at")).alias("_first"))
+        joined = each.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.sort_array(F.collect_list(F.struct("_first", "_element"))).alias("_list"))
+        same = [merged[g].eqNullSafe(joined[f"_{g}"]) for g in group]
+        in_order = F.coalesce(F.transform("_list", lambda x: x["_element"]), F.array())
+        merged = merged.join(joined, same, "left").withColumn(c, in_order).drop("_list", *[f"_{g}" for g in group])
+    return merged.drop("_rows")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bidlake import bridge
 from bidlake.bridge import oracle
-from bidlake.functions import classify, fields, pages
+from bidlake.functions import classify, fields, pages, rules
 from bidlake.operators import ordered
 from bidlake.plans.procurement import query
 from bidlake.streaming import breaker
@@ -92,7 +92,22 @@ def _(spark, d):
 
 
 # The same functions over every whole page or text, beside the fixed snippets above, whose SQL stays as it is.
-@query("login_wall_pages")
+def _has(pattern: str) -> str:
+    return "regexp_matches(t, '{}', 'i')".format(pattern.replace("'", "''"))
+
+
+def _times(pattern: str) -> str:
+    return "len(regexp_extract_all(t, '{}', 0, 'i'))".format(pattern.replace("'", "''"))
+
+
+_SCORE = f"""55 * {_has(pages.PASSWORD)}::INT + 25 * {_has(pages.LOGIN_FORM)}::INT + 20 * ({_times(pages.LOGIN_WORDS)} >= 2)::INT + 10 * {_has(pages.REGISTER_WORDS)}::INT + 45 * {_has(pages.GATED)}::INT + 35 * {_has(pages.CAPTCHA)}::INT
+- CASE WHEN {_times(pages.DOCUMENT_LINK)} > 0 THEN 50 + least({_times(pages.DOCUMENT_LINK)}, 5) * 10 ELSE 0 END"""
+_KIND = f"CASE WHEN {_has(pages.CAPTCHA)} THEN 'captcha' WHEN {_has(pages.PASSWORD)} OR {_has(pages.LOGIN_FORM)} OR {_times(pages.LOGIN_WORDS)} >= 2 THEN 'login' WHEN {_has(pages.REGISTER_WORDS)} THEN 'registration' WHEN {_has(pages.GATED)} THEN 'login' END"
+_WALL = f"""SELECT page_id, e OR coalesce(c >= 60 AND k IS NOT NULL, false) AS is_wall, CASE WHEN e THEN 'expired' ELSE k END AS kind, CASE WHEN e THEN 0.9 ELSE c / 100.0 END::DOUBLE AS confidence FROM
+(SELECT page_id, {_has(pages.EXPIRED)} AS e, {_KIND} AS k, greatest(0, least(100, {_SCORE})) AS c FROM (SELECT page_id, substring(coalesce(html, ''), 1, {pages.SAMPLE}) AS t FROM pages))"""
+
+
+@query("login_wall_pages", _WALL)
 def _(spark, d):
     return bridge.table(spark, d, "pages").select("page_id", pages.login_wall(F.col("html")).alias("w")).select("page_id", "w.*")
 
@@ -105,12 +120,20 @@ def _(spark, d):
     return bridge.table(spark, d, "pages").select("page_id", pages.keyword_score(F.col("html")).alias("score"))
 
 
-@query("injection_scan_texts")
+_TEXTS = "(SELECT 'page' AS kind, page_id AS id, coalesce(html, '') AS text FROM pages UNION ALL SELECT 'document', doc_id, coalesce(text, '') FROM documents)"
+_PATTERNS = [p.replace("'", "''") for p in rules.INJECTIONS]
+_HITS = " + ".join(f"regexp_matches(text, '{p}', 'i')::INT" for p in _PATTERNS)
+_REDACTED = "text"
+for _p in _PATTERNS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_p}', '[REDACTED:injection]', 'gi')"
+
+
+@query("injection_scan_texts", f"SELECT kind, id, {_HITS} AS hits FROM {_TEXTS}")
 def _(spark, d):
     return _texts(spark, d).select("kind", "id", F.size(classify.injection_hits(F.col("text"))).alias("hits"))
 
 
-@query("redaction_texts")
+@query("redaction_texts", f"SELECT kind, id, {_REDACTED} AS text FROM {_TEXTS}")
 def _(spark, d):
     return _texts(spark, d).select("kind", "id", classify.redacted(F.col("text")).alias("text"))
 

@@ -491,3 +491,56 @@ def _(spark, d):
 ]+', '_', 'g'), '[^A-Za-z0-9_\-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80), ''), 'unknown') AS name FROM documents""")
 def _(spark, d):
     return bridge.table(spark, d, "documents").select("doc_id", notices.folder_name(F.substring(F.coalesce("text", F.lit("")), 1, 120)).alias("name"))
+
+
+# Links and downloads of a page
+#: Links of the test pages lead to pages only; these make documents of some.
+_ENDED = "CASE cast(page_id % 4 AS int) WHEN 1 THEN '.pdf' WHEN 2 THEN '.zip' ELSE '' END"
+_POINTED = f"""SELECT page_id, href, {' OR '.join(f"contains(lower(href), '{x}')" for x in notices.ALL_AT_ONCE + ['.zip?'])} OR ends_with(lower(href), '.zip') AS whole,
+{' OR '.join(f"ends_with(lower(regexp_extract(href, '^([^?]*)', 1)), '{x}')" for x in urls.DOCUMENTS)} OR regexp_matches(href, '{urls.DOWNLOADISH}', 'i') AS useful, {' OR '.join(f"contains(lower(href), '{x}')" for x in urls.NO_TENDER)} AS noise FROM (SELECT DISTINCT page_id, href || {_ENDED} AS href FROM ({_HREFS}))"""
+
+
+@query("harvested_links", f"SELECT page_id, min(href) AS href FROM ({_POINTED}) WHERE whole AND NOT noise GROUP BY 1 UNION ALL SELECT page_id, href FROM ({_POINTED}) WHERE useful AND NOT noise AND page_id NOT IN (SELECT page_id FROM ({_POINTED}) WHERE whole AND NOT noise)")
+def _(spark, d):
+    h = F.col("href")
+    points = notices.link_points(h, urls.extension(h), urls.DOCUMENTS)
+    ended = _hrefs(spark, d).select("page_id", F.concat("href", F.expr(_ENDED)).alias("href")).distinct()
+    rows = ended.filter(~urls.no_tender(h)).select("page_id", "href", (F.when(leads_to_all(h), 1).otherwise(0)).alias("whole"), (urls.downloadish(h) | (points >= 9)).alias("useful"))
+    whole = rows.filter("whole = 1").groupBy("page_id").agg(F.min("href").alias("href"))
+    return whole.unionByName(rows.filter("useful").select("page_id", "href").join(whole.select("page_id"), "page_id", "left_anti"))
+
+
+def leads_to_all(href):
+    """Whether a link leads to all documents at once."""
+    low = F.lower(href)
+    found = low.endswith(".zip") | low.contains(".zip?")
+    for part in notices.ALL_AT_ONCE:
+        found = found | low.contains(part)
+    return found
+
+
+@query("validated_downloads", "SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN doc_id % 5 = 0 THEN 'extension' WHEN row_number() OVER (PARTITION BY sha256(coalesce(text, '')), doc_id % 5 = 0 ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'ok' END AS verdict FROM documents")
+def _(spark, d):
+    name = F.when(F.col("doc_id") % 5 == 0, "page.html").otherwise("file.pdf")
+    rows = bridge.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("."), urls.extension(name)).isin(urls.DOCUMENTS).alias("fits"))
+    first = rows.filter("text <> '' and fits").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("first"))  # no group's rows are held
+    held = rows.select("doc_id", "fits", (F.col("text") == "").alias("empty"), F.sha2("text", 256).alias("sha")).join(first, "sha", "left")
+    verdict = F.when(F.col("empty"), "empty").when(~F.col("fits"), "extension").when(F.col("doc_id") > F.col("first"), "duplicate").otherwise("ok")
+    return held.select("doc_id", verdict.alias("verdict"))
+
+
+@query("extraction_rows", """SELECT c_custkey AS id, 2 + cast(c_custkey % 3 = 0 AS int) AS found, round((0.9 + 0.5 + CASE WHEN c_custkey % 3 = 0 THEN 0.2 ELSE 0 END) / (2 + cast(c_custkey % 3 = 0 AS int)), 2)::DOUBLE AS confidence, CASE WHEN c_custkey % 3 = 0 THEN 'buyer,deadline' ELSE 'buyer' END AS low FROM customer""")
+def _(spark, d):
+    field = lambda name, value, sure: F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(sure).alias("sure"))
+    some = F.array(field("title", F.col("c_name"), 0.9), field("buyer", F.lit("b"), 0.5), field("deadline", F.when(F.col("c_custkey") % 3 == 0, F.lit("d")), 0.2), field("value", F.lit(None).cast("string"), 0.0))
+    found = F.filter(some, lambda f: f["value"].isNotNull())
+    rows = bridge.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), found.alias("f"))
+    total = F.aggregate("f", F.lit(0.0), lambda s, f: s + f["sure"])
+    low = F.array_join(F.slice(F.transform(F.filter("f", lambda f: f["sure"] < 0.7), lambda f: f["name"]), 1, 3), ",")
+    return rows.select("id", F.size("f").alias("found"), F.round(total / F.size("f"), 2).alias("confidence"), low.alias("low"))
+
+
+@query("exported_results", oracle(f"SELECT job_id, string_agg(DISTINCT domain, ';' ORDER BY domain) AS domains, count(*) FILTER ({S}) AS documents FROM items GROUP BY 1"))
+def _(spark, d):
+    rows = _items(spark, d).groupBy("job_id").agg(F.sort_array(F.collect_set("domain")).alias("domains"), F.count_if(F.expr(S)).alias("documents"))  # a job has few items
+    return rows.select("job_id", F.array_join("domains", ";").alias("domains"), "documents")
