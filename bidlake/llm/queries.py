@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, forest, htmltext, linededup, media, minhash, mixing, quality, sharding, toxicity
+from bidlake.llm import bpe, elkan, forest, htmltext, linededup, media, minhash, mixing, quality, sharding, toxicity
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -73,6 +73,10 @@ def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.elkan_clusters(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_minhash": op9_minhash,
         "op10_htmltext": op10_htmltext,
+        "op12_elkan": op12_elkan,
         "pipeline": pipeline,
     }
 
@@ -125,5 +130,39 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+def clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every distance of every round, none left out by bounds."""
+    floor = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    steps = [
+        """vectors AS MATERIALIZED (
+    SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), components AS MATERIALIZED (
+    SELECT i, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vectors
+), start AS (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) - 1 AS c, v FROM vectors
+), centroids0 AS MATERIALIZED (
+    SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM start WHERE c < %d
+)""" % k
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""distances{r} AS (
+    SELECT i, c, sum((p.x - q.x) * (p.x - q.x)) AS distance FROM components p JOIN centroids{r} q USING (d) GROUP BY i, c
+), assigned{r} AS MATERIALIZED (
+    SELECT i, min(CAST(distance AS HUGEINT) * 1000 + c) AS best, CAST(best % 1000 AS INT) AS c, CAST(best // 1000 AS BIGINT) AS distance FROM distances{r} GROUP BY i
+)""")
+        if r < rounds:
+            steps.append(f"""means{r} AS (
+    SELECT c, d, {floor} AS x FROM (SELECT a.c, d, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM assigned{r} a JOIN components USING (i) GROUP BY a.c, d)
+), centroids{r + 1} AS MATERIALIZED (
+    SELECT c, d, coalesce(m.x, q.x) AS x FROM centroids{r} q LEFT JOIN means{r} m USING (c, d)
+)""")
+    return f"""WITH {', '.join(steps)}, digests AS (
+    SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM centroids{rounds} GROUP BY c
+)
+SELECT vec_id, c AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM assigned{rounds} JOIN vectors USING (i) JOIN digests USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_minhash": NEAR_DUPLICATES_SQL}
+    return {"op9_minhash": NEAR_DUPLICATES_SQL, "op12_elkan": clusters_sql()}
