@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, elkan, forest, htmltext, linededup, media, minhash, mixing, quality, sharding, toxicity
+from bidlake.llm import bpe, elkan, forest, htmltext, linededup, media, minhash, mixing, prefixtrie, quality, sharding, toxicity
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -77,6 +77,10 @@ def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.elkan_clusters(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.family_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash": op9_minhash,
         "op10_htmltext": op10_htmltext,
         "op12_elkan": op12_elkan,
+        "op13_prefixtrie": op13_prefixtrie,
         "pipeline": pipeline,
     }
 
@@ -164,5 +169,40 @@ SELECT vec_id, c AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c)
 FROM assigned{rounds} JOIN vectors USING (i) JOIN digests USING (c)"""
 
 
+#: All prefixes of all rebuilt conversations as keys; each node added to all its ancestors. CRC-32 bit by bit.
+PREFIX_TRIE_SQL = """
+WITH ordered AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+    SELECT c, c - c % 5 AS f, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda a, x: list_reduce(range(8), lambda b, y: xor(b >> 1, (b & 1) * 3988292384), xor(a, x)), CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+    FROM (SELECT DISTINCT c FROM ordered)
+), taken AS (
+    SELECT ids.c, f, h, count(o.c) AS n FROM ids LEFT JOIN ordered o ON o.c = f AND o.p <= h GROUP BY ALL
+), turns AS (
+    SELECT taken.c, p AS d, r, t FROM taken JOIN ordered o ON o.c = f AND p <= h
+    UNION ALL SELECT taken.c, p - h + n, r, t FROM taken JOIN ordered o ON o.c = taken.c AND p > h
+), prefixes AS MATERIALIZED (
+    SELECT c, d, md5(string_agg(md5(r) || md5(t), '') OVER (PARTITION BY c ORDER BY d)) AS k, strlen(t) AS bytes FROM turns
+    UNION ALL SELECT c, 0, '', 0 FROM ids
+), nodes AS MATERIALIZED (
+    SELECT d, k, min(c) AS owner, count(*) AS n, (count(*) - 1) * max(bytes) AS saved FROM prefixes GROUP BY d, k
+), parents AS (
+    SELECT n.*, p.k AS pk, m.owner AS parent FROM nodes n LEFT JOIN prefixes p ON p.c = n.owner AND p.d = n.d - 1 LEFT JOIN nodes m ON m.d = n.d - 1 AND m.k = p.k
+), children AS (
+    SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM parents WHERE d > 0 GROUP BY ALL
+), weighed AS MATERIALIZED (
+    SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN children USING (d, k)
+), sums AS (
+    SELECT a.d, a.k, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(w.saved) AS saved_tokens FROM weighed w JOIN prefixes a ON a.c = w.owner AND a.d <= w.d GROUP BY a.d, a.k
+), lasts AS (
+    SELECT c, max(d) AS d, arg_max(k, d) AS k FROM prefixes GROUP BY c
+), ends AS (
+    SELECT d, k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends_sha256 FROM lasts GROUP BY d, k
+)
+SELECT owner AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM weighed JOIN sums USING (d, k) LEFT JOIN ends USING (d, k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_minhash": NEAR_DUPLICATES_SQL, "op12_elkan": clusters_sql()}
+    return {"op9_minhash": NEAR_DUPLICATES_SQL, "op12_elkan": clusters_sql(), "op13_prefixtrie": PREFIX_TRIE_SQL}
