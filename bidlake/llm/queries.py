@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import bpe, elkan, forest, htmltext, linededup, media, minhash, mixing, prefixtrie, quality, sharding, toxicity
+from bidlake.llm import bpe, elkan, forest, htmltext, linededup, media, minhash, mixing, prefixtrie, quality, sharding, suffixdedup, toxicity
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -73,6 +73,11 @@ def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op11_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.elkan_clusters(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_minhash": op9_minhash,
         "op10_htmltext": op10_htmltext,
+        "op11_suffixdedup": op11_suffixdedup,
         "op12_elkan": op12_elkan,
         "op13_prefixtrie": op13_prefixtrie,
         "pipeline": pipeline,
