@@ -172,15 +172,53 @@ def breaker_events(spark, d):
     )
 
 
-@query("circuit_breaker")
+def _folded(key: str, columns: str, start: str, step: str, order: str = "t, op, category NULLS FIRST") -> str:
+    """Events one after another: ``start`` is the state of a key without events, ``step`` that after the event e in the state r."""
+    return f"""WITH RECURSIVE events0 AS (
+SELECT concat('s', user_id % 10) AS {key}, epoch_us(ts) / 1e6 AS t, CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' ELSE 'request' END AS op, CASE WHEN event_id % 2 = 0 THEN 'captcha' END AS category FROM events
+), e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM events0
+), r AS (
+SELECT {key}, 0::BIGINT AS n, NULL::DOUBLE AS t, NULL::VARCHAR AS op, true AS allowed, {start} FROM (SELECT DISTINCT {key} FROM e)
+UNION ALL SELECT {key}, n, t, op, {step}
+) SELECT {columns} FROM r WHERE n > 0"""
+
+
+_BREAKER = """f2.allowed, f2.state, f2.failures, f2.failed_at, f2.tripped_at, f2.probe_at FROM (
+SELECT domain, n, t, op,
+CASE op WHEN 'success' THEN true WHEN 'failure' THEN NOT trips ELSE CASE WHEN state = 'open' THEN opens ELSE NOT closes END END AS allowed,
+CASE op WHEN 'success' THEN 'closed' WHEN 'failure' THEN CASE WHEN trips THEN 'open' ELSE state END ELSE CASE WHEN opens THEN 'half_open' WHEN closes THEN 'open' ELSE state END END AS state,
+CASE op WHEN 'success' THEN 0 WHEN 'failure' THEN f ELSE failures END AS failures, CASE op WHEN 'success' THEN 0.0 WHEN 'failure' THEN t ELSE failed_at END AS failed_at,
+CASE WHEN op = 'success' THEN 0.0 WHEN op = 'failure' AND trips OR op = 'request' AND closes THEN t ELSE tripped_at END AS tripped_at, CASE WHEN op = 'request' AND opens THEN t ELSE probe_at END AS probe_at
+FROM (SELECT *, f >= CASE WHEN category = 'captcha' THEN 3 ELSE 5 END AS trips, state = 'open' AND t - tripped_at > 1800 AS opens, state = 'half_open' AND t - probe_at > 300 AS closes
+FROM (SELECT e.*, r.state, r.failures, r.failed_at, r.tripped_at, r.probe_at, CASE WHEN failures > 0 AND e.t - failed_at > 3600 THEN 1 ELSE failures + 1 END AS f FROM r JOIN e ON e.domain = r.domain AND e.n = r.n + 1))) f2"""
+
+
+@query("circuit_breaker", _folded("domain", 'domain, t AS "at", op, allowed, state', "'closed' AS state, 0 AS failures, 0.0::DOUBLE AS failed_at, 0.0::DOUBLE AS tripped_at, 0.0::DOUBLE AS probe_at", _BREAKER))
 def _(spark, d):
     return breaker.replay_breaker(breaker_events(spark, d))
 
 
-@query("rate_limit")
+_LIMIT = """hits <= 4, begun, hits FROM (SELECT key, n, t, op, CASE WHEN hits = 0 OR t - begun >= 3600 THEN t ELSE begun END AS begun, CASE WHEN hits = 0 OR t - begun >= 3600 THEN 1 ELSE hits + 1 END AS hits
+FROM (SELECT e.*, r.begun, r.hits FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))"""
+
+
+@query("rate_limit", _folded("key", 'key, t AS "at", allowed', "0.0::DOUBLE AS begun, 0 AS hits", _LIMIT))
 def _(spark, d):
-    rows = bridge.table(spark, d, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return breaker.replay_limit(rows, 4, 3600.0)
+    return breaker.replay_limit(breaker_events(spark, d).withColumnRenamed("domain", "key"), 4, 3600.0)
+
+
+_SLOTS = """give OR taken < 3, CASE WHEN give THEN greatest(taken - 1, 0) ELSE least(taken + 1, 3) END, CASE WHEN give AND taken = 0 THEN 0.0 WHEN give OR taken > 0 THEN until ELSE t + 86400 END
+FROM (SELECT e.*, e.op = 'release' AS give, CASE WHEN e.t < r.until THEN r.taken ELSE 0 END AS taken, CASE WHEN e.t < r.until THEN r.until ELSE 0.0 END AS until FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)"""
+
+
+@query("domain_limit", _folded("key", 'key, t AS "at", op, allowed, taken', "0 AS taken, 0.0::DOUBLE AS until", _SLOTS).replace("WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' ELSE 'request'", "WHEN 'error' THEN 'release' WHEN 'purchase' THEN 'release' ELSE 'acquire'"))
+def _(spark, d):
+    return breaker.replay_limiter(limiter_events(spark, d), 3, 86400.0)
+
+
+def limiter_events(spark, d):
+    op = F.when(F.col("op") == "request", "acquire").otherwise("release")
+    return breaker_events(spark, d).select(F.col("domain").alias("key"), "at", op.alias("op"))
 
 
 @query(

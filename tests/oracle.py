@@ -40,3 +40,13 @@ def differences(frame, con, sql: str) -> str:
     if got == wanted:
         return "" if got else "no rows"
     return f"{sum(got.values())} rows for {sum(wanted.values())}; only here {list((got - wanted).items())[:2]}; only there {list((wanted - got).items())[:2]}"
+
+
+def streamed(spark, frame, name: str, seconds: int = 120) -> list[tuple]:
+    """The rows of a stream over what is there now; it has so many seconds to end."""
+    query = frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(seconds), "the stream doesn't end"
+    finally:
+        query.stop()
+    return [tuple(r) for r in spark.table(name).collect()]

@@ -13,6 +13,7 @@ from bidlake.functions import classify, fields, pages
 from bidlake.operators import analytics, components, directory, ordered, running
 from bidlake.sources import archives
 from bidlake.streaming import audit, breaker
+from tests.oracle import streamed
 
 
 def values(spark, texts, column):
@@ -138,10 +139,7 @@ def test_st1_breaker_batch_and_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in breaker.replay_breaker(frame).collect()) == DECIDED
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = breaker.stream_breaker(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("decisions").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM decisions").collect()) == DECIDED
+    assert sorted(streamed(spark, stream, "decisions")) == DECIDED
 
 
 def test_st3_limit(spark):
@@ -153,7 +151,4 @@ def test_st11_audit_stream(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:01:00", "click"), ("2024-01-01 00:02:00", "click"), ("2024-01-01 02:00:00", "view")], "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.coalesce(1).write.parquet(str(tmp_path / "a"))
     rates = audit.event_rates(audit.audit_stream(spark, str(tmp_path / "a"), rows.schema))
-    query = rates.writeStream.format("memory").queryName("rates").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
-    assert [(r["event_type"], r["n"]) for r in spark.sql("SELECT * FROM rates").collect()] == [("click", 2)]
+    assert [(kind, n) for _, kind, n in streamed(spark, rates, "rates")] == [("click", 2)]
