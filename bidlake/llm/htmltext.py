@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_right
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -59,7 +61,32 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)  # by name, where in ``open`` elements are
         self.depth = 1
+        self.ending = False
+
+    def close(self) -> None:
+        self.ending = True
+        super().close()
+
+    def _whole(self, end: int) -> int:
+        """What isn't ended where the page ends, a comment, declaration or tag, goes up to there and shows nothing."""
+        return len(self.rawdata) if end < 0 and self.ending else end
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._whole(super().parse_comment(i, report))
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._whole(super().parse_html_declaration(i))
+
+    def parse_pi(self, i: int) -> int:
+        return self._whole(super().parse_pi(i))
+
+    def parse_starttag(self, i: int) -> int:
+        return self._whole(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._whole(super().parse_endtag(i))
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """Sections such as <![foo]> are skipped up to their end, whatever they are called; -1 if that is missing."""
@@ -68,12 +95,19 @@ class TreeBuilder(HTMLParser):
     def updatepos(self, i: int, j: int) -> int:
         return j  # places in the source aren't asked for
 
+    def _cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.at[self.open.pop().name].pop()
+
+    def _nearest(self, names: tuple[str, ...] | frozenset[str]) -> int:
+        """The place of the innermost open element of these names; 0 without one."""
+        return max((self.at[n][-1] for n in names if self.at[n]), default=0)
+
     def _end(self, names: frozenset[str], until: frozenset[str]) -> None:
-        at = len(self.open) - 1
-        while at > 0 and self.open[at].name not in until:
-            if self.open[at].name in names:
-                del self.open[at:]
-            at -= 1
+        inside = self._nearest(until)
+        found = [self.at[n][i] for n in names if (i := bisect_right(self.at[n], inside)) < len(self.at[n])]
+        if found:
+            self._cut(min(found))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
@@ -83,10 +117,11 @@ class TreeBuilder(HTMLParser):
         if tag in IMPLIED:
             self._end(*IMPLIED[tag])
         elif self.open[-1].name == "head" and tag not in UNSEEN:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.at[tag].append(len(self.open))
             self.open.append(node)
             self.depth = max(self.depth, len(self.open))
 
@@ -94,16 +129,13 @@ class TreeBuilder(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].name == tag:
-                del self.open[at:]
-                return
-            if self.open[at].name in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                return
+        at = self._nearest((tag,))
+        if at and (tag in ("table", "tr", "tbody", "thead", "tfoot") or self._nearest(("td", "th", "table")) <= at):
+            self._cut(at)
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].name == "head" and data.strip():
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
@@ -179,7 +211,8 @@ class Renderer:
     def list(self, node: Node) -> None:
         nested = bool(self.indent)
         self.owe(1 if nested else 2)
-        number = int(node.said["start"]) if (node.said.get("start") or "").isdigit() else 1
+        said = re.match(r"\s*([+-]?[0-9]{1,9})(?![0-9])", node.said.get("start") or "")
+        number = int(said[1]) if said else 1
         for child in node.children:
             if isinstance(child, str):
                 if child.strip():
@@ -212,48 +245,50 @@ class Renderer:
             self.children(caption)
             self.owe(1)
         grid: list[list[tuple[list[str], int]]] = []
-        widths: list[int] = []
+        widths: dict[int, int] = {}
         held: dict[int, tuple[int, int]] = {}  # by column: rows below that a cell reaches into, and its columns
         for row in rows:
             line, at, below = [], 0, {}
-            waiting = list(row)
-            while waiting or any(column >= at for column in held):
-                if at in held:
-                    left, span = held.pop(at)
+            waiting, reached = deque(row), deque(sorted(held))
+            while waiting or reached:
+                if reached and reached[0] == at:
+                    left, span = held[reached.popleft()]
                     line.append(([""], span))
                     if left > 1:
                         below[at] = (left - 1, span)
                     at += span
                     continue
                 if not waiting:
-                    line.append(([""], 1))
-                    at += 1
+                    line.append(([""], reached[0] - at))
+                    at = reached[0]
                     continue
-                cell = waiting.pop(0)
+                cell = waiting.popleft()
                 inner = Renderer()
                 inner.children(cell)
                 text = inner.text().split("\n")
                 span, deep = spanned(cell, "colspan"), spanned(cell, "rowspan")
-                ahead = [column for column in held if column > at]
-                span = min(span, min(ahead) - at) if ahead else span
+                span = min(span, reached[0] - at) if reached else span
                 if deep > 1:
                     below[at] = (deep - 1, span)
                 line.append((text, span))
-                widths += [0] * (at + span - len(widths))
-                if span == 1:
-                    widths[at] = max(widths[at], *map(len, text))
+                if any(text):
+                    widths[at] = max(widths.get(at, 0), *map(len, text)) if span == 1 else widths.get(at, 0)
                 at += span
-            widths += [0] * (at - len(widths))
             held = below
             grid.append(line)
+        columns = sorted(widths)  # those with text of their own; others need no room
+        before = [0]
+        for column in columns:
+            before.append(before[-1] + widths[column] + 3)
         for line in grid:
             if not any("".join(text) for text, _ in line):
                 continue
             for y in range(max(len(text) for text, _ in line)):
                 out, at = [], 0
                 for text, span in line:
-                    width = sum(widths[at : at + span]) + 3 * (span - 1)
-                    out.append((text[y] if y < len(text) else "").ljust(width))
+                    i, j = bisect_right(columns, at - 1), bisect_right(columns, at + span - 1)
+                    if i < j:
+                        out.append((text[y] if y < len(text) else "").ljust(before[j] - before[i] - 3))
                     at += span
                 self.owe(1)
                 self.put(" | ".join(out).rstrip())
@@ -265,7 +300,7 @@ class Renderer:
 
 def spanned(cell: Node, said: str) -> int:
     number = cell.said.get(said) or ""
-    return min(SPAN, int(number)) if re.fullmatch(r"[1-9]\d{0,8}", number) else 1
+    return min(SPAN, int(number)) if re.fullmatch(r"[1-9][0-9]{0,8}", number) else 1
 
 
 def plain(node: Node) -> str:
@@ -342,7 +377,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
 
     Blocks stand on lines of their own, paragraphs, headings, lists and tables with a blank line around; list items have marks and
     indents, table cells are padded to columns. Scripts, styles, forms' choices, hidden elements and comments aren't visible.
-    Pages may have any length and depth; a cell that spans rows leaves its columns empty below. Texts of SVG images and choices of
+    Pages may have any length and depth; a cell that spans rows leaves its columns empty below, and a column in which no cell with text begins takes no
+    room. A comment or tag that isn't ended shows nothing; a list's start that isn't a number of up to nine digits counts as 1. Texts of SVG images and choices of
     forms count as not visible. Null or empty pages give empty texts; broken markup is read as far as it goes; text without tags is one
     block. Equal pages give equal texts; other columns stay, clashing ones are replaced.
     """
