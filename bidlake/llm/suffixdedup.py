@@ -272,7 +272,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found, matches_folder = written(_match_packs(blocks, answers, packs))
         del answers
         let_go(spark)
-        answers = _answers(found.filter("pack >= 0").select("pack", "block", "buckets", "checks"), {"buckets": np.uint64, "checks": np.uint32}, match_states)
+        answers = cut(_answers(found.filter("pack >= 0").select("pack", "block", "buckets", "checks"), {"buckets": np.uint64, "checks": np.uint32}, match_states))
+        let_go(spark)
         marks = found.filter("pack < 0").select("block", "first", "last", "places", "counts")
         out = cut(_cleaned(blocks, marks, answers, with_bytes))
     finally:
