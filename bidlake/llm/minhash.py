@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
         both = F.size(F.array_intersect("ia", "ib"))
         return held.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
-    linked = list_components(postings, verify, near, about, percent)
+    linked = list_components(postings, verify, near, about, percent, rounds=4)
     placed = first.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = placed.join(names, "root").select("node", "component_id")
