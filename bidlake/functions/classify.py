@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.functions import rules
@@ -31,6 +31,17 @@ def looked_up(key: Column, table: dict[str, object], default: object) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*entries), key), F.lit(default))
 
 
+def with_classes(rows: DataFrame, column: str, classes: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``classes`` of ``column``, chains of patterns that are worked out once for each different value.
+
+    The different values are dealt evenly to as many tasks as a shuffle has, as Spark would gather so few bytes in one or two. Spark broadcasts
+    them back if they are few, else joins and splits frequent ones.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = rows.select(F.col(column).alias("_value")).distinct().repartition(parts).select("_value", *[c.alias(n) for n, c in classes.items()])
+    return rows.join(known, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
+
+
 def url_type(url: Column) -> Column:
     return first_rule(url, {k: v[1] for k, v in rules.URL_TYPES.items()}, "unknown")
 

@@ -43,10 +43,19 @@ def tender_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, f"(?i){TENDER_ID}", 1), F.lit(""))
 
 
+def _parameter(url: Column, name: str) -> Column:
+    """The first value of a query parameter, decoded, empty if it has none; null if it isn't there."""
+    query = F.coalesce(part(url, 4), F.lit(""))
+    raw = F.when(query.rlike(f"[?&]{name}="), F.regexp_extract(query, f"[?&]{name}=([^&]*)", 1))
+    return F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))
+
+
 def netserver_urls(url: Column) -> Column:
-    """Where a NetServer portal has a tender's documents: the address itself, then four others to try; null without the tender's key."""
-    named = F.regexp_extract(url, "[?&](?:TenderOID|TWOID)=([^&#]+)", 1)
-    key = F.when(named != "", named).otherwise(tender_id(url))
+    """Where a NetServer portal has a tender's documents: the address itself, then four others to try; null without the tender's key.
+
+    The key is the parameter TenderOID, else TWOID; where that is missing or empty, what looks like one anywhere in the URL.
+    """
+    key = F.coalesce(F.nullif(F.coalesce(_parameter(url, "TenderOID"), _parameter(url, "TWOID")), F.lit("")), tender_id(url))
     folder = F.regexp_extract(part(url, 3), "(?i)^(/.*?/NetServer/)", 1)
     base = F.concat(part(url, 1), F.when(folder != "", folder).otherwise("/NetServer/"))
     details = lambda function, more="": F.concat(base, F.lit(f"TenderingProcedureDetails?function={function}&TenderOID="), key, F.lit(more))
@@ -62,13 +71,26 @@ def is_external(href: Column, page: Column) -> Column:
     return (authority != "") & (authority != part(page, 2))
 
 
+def _resolved(path: Column, page_path: Column) -> Column:
+    """A path as seen from another, without ``.`` and ``..``: each names the folder before or the same, and none leads above the root."""
+    beside = F.split(F.regexp_extract(page_path, "^(.*/)", 1), "/", -1)
+    steps = F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(F.concat(F.slice(beside, 1, F.greatest(F.size(beside) - 1, F.lit(0))), F.split(path, "/", -1)))
+    inner = F.filter(F.slice(steps, 2, F.greatest(F.size(steps) - 2, F.lit(0))), lambda s: s != "")
+    last = F.element_at(steps, -1)
+    whole = F.when(F.size(steps) > 1, F.concat(F.slice(steps, 1, 1), inner, F.array(last))).otherwise(steps)
+    step = lambda held, s: F.when(s == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(s == ".", held).otherwise(F.concat(held, F.array(s)))
+    kept = F.aggregate(whole, F.array().cast("array<string>"), step)
+    joined = F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
 def absolute(href: Column, page: Column) -> Column:
-    """A link as seen from its page: whole addresses, //host, /path, ?query, #place, and names beside the page; without ``..``."""
-    beside = F.regexp_extract(part(page, 3), "^(.*/)", 1)
+    """A link as seen from its page: whole addresses, //host, /path, ?query, #place, and names beside the page, with ``.`` and ``..`` resolved in paths."""
+    path, rest = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "([?#](?s:.*))$", 1)
     return (
-        F.when(href.rlike(r"^[A-Za-z][\w+.\-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(page, r"^([A-Za-z][\w+.\-]*:)", 1), href)).when(href.startswith("/"), F.concat(part(page, 1), href))
+        F.when(href == "", page).when(href.rlike(r"^[A-Za-z][\w+.\-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(page, r"^([A-Za-z][\w+.\-]*:)", 1), href))
         .when(href.startswith("?"), F.concat(part(page, 1), part(page, 3), href)).when(href.startswith("#"), F.concat(F.regexp_extract(page, "^([^#]*)", 1), href))
-        .otherwise(F.concat(part(page, 1), F.when(beside == "", "/").otherwise(beside), href))
+        .otherwise(F.concat(part(page, 1), _resolved(path, part(page, 3)), rest))
     )
 
 
@@ -137,8 +159,9 @@ def client_ip(forwarded: Column, peer: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes, whole KB, or MB with one digit."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.floor(n / 1024).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.floor(n / 1048576).cast("string"), F.lit(" MB")))
+    """Bytes, KB or MB with at most one digit after the point."""
+    shown = lambda size, unit: F.concat(F.regexp_replace(F.round(n / size, 1).cast("string"), r"\.0$", ""), F.lit(unit))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, shown(1024, " KB")).otherwise(shown(1024 * 1024, " MB"))
 
 
 def first_sentences(text: Column, n: int) -> Column:

@@ -39,14 +39,15 @@ def strategy_distribution(items: DataFrame) -> DataFrame:
 
 def error_categories(items: DataFrame) -> DataFrame:
     """Failed items by the category that their message has now."""
-    return items.filter(failed()).groupBy(classify.error_category(F.col("error_message")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    by_message = items.filter(failed()).groupBy("error_message").agg(F.count(F.lit(1)).alias("n"))
+    return by_message.groupBy(classify.error_category(F.col("error_message")).alias("category")).agg(F.sum("n").alias("n"))
 
 
 def outcome_buckets(items: DataFrame) -> DataFrame:
     """Finished items by outcome bucket."""
-    done = items.filter(succeeded() | failed())
-    bucket = classify.outcome_bucket(classify.error_category(F.col("error_message")), succeeded())
-    found = done.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    by_message = items.filter(succeeded() | failed()).groupBy(succeeded().alias("_fine"), F.when(failed(), F.col("error_message")).alias("_message")).agg(F.count(F.lit(1)).alias("n"))
+    bucket = classify.outcome_bucket(classify.error_category(F.col("_message")), F.col("_fine"))
+    found = by_message.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"))
     return found.withColumn("label", classify.bucket_label(F.col("bucket"))).withColumn("needs_manual", classify.needs_manual(F.col("bucket")))
 
 
@@ -77,8 +78,9 @@ def by_strategy(items: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def by_platform(items: DataFrame) -> DataFrame:
     """Finished items by platform of their URL, with the most frequent strategy (ties: by name)."""
-    done = items.filter(succeeded() | failed()).groupBy(classify.platform(F.col("url")).alias("platform"), F.coalesce("strategy", F.lit("none")).alias("strategy"))
-    counted = done.agg(F.count(F.lit(1)).alias("n"), _count(succeeded()).alias("s"))
+    by_url = items.filter(succeeded() | failed()).groupBy("url", F.coalesce("strategy", F.lit("none")).alias("strategy")).agg(F.count(F.lit(1)).alias("n"), _count(succeeded()).alias("s"))
+    done = classify.with_classes(by_url, "url", {"platform": classify.platform(F.col("_value"))}).groupBy("platform", "strategy")
+    counted = done.agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     most = F.row_number().over(W.partitionBy("platform").orderBy(F.desc("n"), "strategy"))
     ranked = counted.withColumn("_most", most)
     out = ranked.groupBy("platform").agg(F.sum("n").alias("total"), F.sum("s").alias("success"), F.max(F.when(F.col("_most") == 1, F.col("strategy"))).alias("dominant_strategy"))
@@ -148,7 +150,8 @@ def batch_forecast(urls: DataFrame) -> DataFrame:
 
     Repeats are counted first, so that each different URL is classified once and a frequent one is no group in one task.
     """
-    each = urls.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = urls.groupBy("url").agg(F.count(F.lit(1)).alias("n")).repartition(parts)  # Spark would gather so few bytes in one or two tasks
     rated = each.withColumn("p", F.round(classify.expected_success(classify.url_type(F.col("url"))) * 100).cast("long"))
     total, different = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
     return rated.agg(total.alias("total"), different.alias("unique"), (total - different).alias("duplicates"), F.sum("p").alias("expected_hundredths"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bidlake.operators.running import PART, running_totals
+
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column | str], n: int = 1) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
@@ -24,9 +26,23 @@ def chunks(items: DataFrame, priority: Column, size: int = 50) -> DataFrame:
 
 
 def throughput(events: DataFrame, key: str, at: str, seconds: int = 60) -> DataFrame:
-    """How many rows of the key the trailing window has, the row included."""
+    """How many rows of the key the trailing window has, the row included.
+
+    Each row is dealt to its stretch of ``seconds``, and once more to the next as one that is only counted: no window looks further back. So
+    a key's rows are apart by time, however many there are, and each group holds two stretches.
+    """
+    length = seconds * 1_000_000
     moment = F.unix_micros(F.col(at).cast("timestamp"))
-    return events.withColumn("recent", F.count(F.lit(1)).over(W.partitionBy(key).orderBy(moment).rangeBetween(-seconds * 1_000_000, 0)))
+    dealt = events.withColumn("_moment", moment).withColumn("_later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_stretch", F.floor(F.col("_moment") / length) + F.col("_later"))
+    counted = dealt.withColumn("recent", F.count(F.lit(1)).over(W.partitionBy(key, "_stretch").orderBy("_moment").rangeBetween(-length, 0)))
+    return counted.filter("_later = 0").drop("_moment", "_later", "_stretch")
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``nth``, their number from 1 in their group, by ranges of all rows: a group may have most of them. There are to be few groups."""
+    placed = running_totals(rows.withColumn("_one", F.lit(1)), [group, *order], "_one", "_before", "_place")
+    firsts = placed.groupBy(group).agg(F.min("_place").alias("_first"))
+    return placed.join(firsts, group).withColumn("nth", F.col("_place") - F.col("_first") + 1).drop("_one", "_before", "_place", "_first", PART)
 
 
 def snapshot_delta(old: DataFrame, new: DataFrame, key: str = "filename", value: str = "checksum") -> DataFrame:

@@ -108,7 +108,7 @@ def _(spark, d):
 
 
 @query("text_heads", r"""SELECT doc_id, CASE WHEN length(t) > 80 THEN rtrim(substring(t, 1, 79)) || '…' ELSE t END AS short, trim(regexp_replace(lower(substring(t, 1, 60)), '[^a-z0-9äöüß]+', ' ', 'g')) AS label,
-CASE WHEN strlen(t) < 1024 THEN strlen(t) || ' B' WHEN strlen(t) < 1048576 THEN (strlen(t) // 1024) || ' KB' ELSE (strlen(t) // 1048576) || ' MB' END AS size FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+CASE WHEN strlen(t) < 1024 THEN strlen(t) || ' B' WHEN strlen(t) < 1048576 THEN regexp_replace(cast(round(strlen(t) / 1024.0, 1) AS varchar), '\.0$', '') || ' KB' ELSE regexp_replace(cast(round(strlen(t) / 1048576.0, 1) AS varchar), '\.0$', '') || ' MB' END AS size FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def _(spark, d):
     t = F.coalesce("text", F.lit(""))
     return bridge.table(spark, d, "documents").select("doc_id", urls.shortened(t, 80).alias("short"), urls.label(F.substring(t, 1, 60)).alias("label"), urls.human_bytes(F.octet_length(t)).alias("size"))
@@ -428,10 +428,10 @@ def _(spark, d):
     return each.groupBy(classify.url_type(F.col("url")).alias("url_type")).agg(F.count(F.lit(1)).alias("urls"), F.sum("n").alias("items"))
 
 
-@query("snapshot_names", "SELECT change, string_agg(filename, ',' ORDER BY filename) AS names FROM (SELECT coalesce(a.f, b.f) AS filename, CASE WHEN a.f IS NULL THEN 'added' WHEN b.f IS NULL THEN 'removed' END AS change FROM (SELECT concat('d', doc_id, '.pdf') AS f FROM documents WHERE doc_id % 13 <> 0) a FULL JOIN (SELECT concat('d', doc_id, '.pdf') AS f FROM documents WHERE doc_id % 11 <> 0) b ON a.f = b.f) WHERE change IS NOT NULL GROUP BY 1")
+@query("snapshot_names", "SELECT change, filename, row_number() OVER (PARTITION BY change ORDER BY filename) AS nth FROM (SELECT coalesce(a.f, b.f) AS filename, CASE WHEN a.f IS NULL THEN 'added' WHEN b.f IS NULL THEN 'removed' END AS change FROM (SELECT concat('d', doc_id, '.pdf') AS f FROM documents WHERE doc_id % 13 <> 0) a FULL JOIN (SELECT concat('d', doc_id, '.pdf') AS f FROM documents WHERE doc_id % 11 <> 0) b ON a.f = b.f) WHERE change IS NOT NULL")
 def _(spark, d):
     delta = ordered.snapshot_delta(*bridge.snapshots(spark, d)).filter("change <> 'modified'")
-    return delta.groupBy("change").agg(F.array_join(F.sort_array(F.collect_list("filename")), ",").alias("names"))
+    return ordered.numbered(delta, "change", ["filename"]).select("change", "filename", "nth")
 
 
 # Notices

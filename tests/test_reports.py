@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bidlake import catalog
 from bidlake.functions import classify, notices, urls
+from bidlake.operators import ordered
 from bidlake.plans import content
 from bidlake.sources import archives, datasets
 from tests.oracle import SMALL
@@ -24,18 +25,37 @@ def test_url_guard_fails_closed(spark):
     assert [f["allowed"] for f in found] == [False, False, False, True, False, False]
 
 
+PAGES = ["https://h.example.org/a/b.html?q=1#top", "https://h.example.org", "https://h.example.org/a/b/c/", "http://h.example.org:8080/x"]
+HREFS = ["https://x.example/y/../z", "//cdn.example/z", "/root", "beside.pdf", "?page=2", "sub/dir/", "mailto:a@b.c", "../up.pdf", "../../../over", "./here", ".", "..", "a/./b/../c?x=../y#../z", "/r/../s/.", "a//b", "#place", "", "x/..", "...", "/"]
+
+
 def test_absolute_links_are_those_of_the_standard(spark):
-    page = "https://h.example.org/a/b.html?q=1#top"
-    hrefs = ["https://x.example/y", "//cdn.example/z", "/root", "beside.pdf", "?page=2", "sub/dir/", "mailto:a@b.c"]
-    assert values(spark, hrefs, lambda h: urls.absolute(h, F.lit(page))) == [urljoin(page, h) for h in hrefs]
+    for page in PAGES:
+        assert values(spark, HREFS, lambda h, page=page: urls.absolute(h, F.lit(page))) == [urljoin(page, h) for h in HREFS]
 
 
 def test_netserver_addresses(spark):
     key = "54321-Tender-19ab-c0"
-    inputs = [f"https://p.example/x/NetServer/TenderingProcedureDetails?function=_Details&TenderOID={key}", f"https://p.example/n?a={key}", "https://p.example/none"]
+    inputs = [f"https://p.example/x/NetServer/TenderingProcedureDetails?function=_Details&TenderOID={key}", f"https://p.example/n?a={key}", "https://p.example/none", f"https://p.example/n?TWOID=other&TenderOID=a%20b%2Fc", f"https://p.example/n?TWOID=x+y%zz", f"https://p.example/{key}?TenderOID=&TWOID=z"]
     found = values(spark, inputs, urls.netserver_urls)
     assert found[0][0] == f"https://p.example/x/NetServer/TenderingProcedureDetails?function=_DownloadTenderDocuments&TenderOID={key}" and len(found[0]) == 5
     assert found[1][2] == f"https://p.example/NetServer/PublicationControllerServlet?function=GetDocumentFile&TWOID={key}" and found[2] is None
+    assert [f[2].split("TWOID=")[1] for f in found[3:]] == ["a b/c", "x y%zz", key]
+
+
+def test_sizes_as_they_are_shown(spark):
+    sizes = {"0": "0 B", "1023": "1023 B", "1024": "1 KB", "1536": "1.5 KB", "1280": "1.3 KB", "1048575": "1024 KB", "1048576": "1 MB", "2621440": "2.5 MB", "12345678": "11.8 MB"}
+    assert values(spark, list(sizes), lambda n: urls.human_bytes(n.cast("long"))) == list(sizes.values())
+
+
+def test_throughput_and_numbers_by_plain_code(spark):
+    times = [0, 1, 59, 60, 61, 120, 121, 121, 300, 360]
+    rows = spark.createDataFrame([(k, t) for k in "ab" for t in times], "k string, t int").withColumn("at", F.timestamp_seconds("t"))
+    found = sorted((r["k"], r["t"], r["recent"]) for r in ordered.throughput(rows, "k", "at").collect())
+    assert found == sorted((k, t, sum(t - 60 <= u <= t for u in times)) for k in "ab" for t in times)
+    named = ordered.numbered(rows.filter("k = 'a' or t < 60"), "k", ["t"])
+    assert sorted((r["k"], r["nth"]) for r in named.collect()) == [("a", i) for i in range(1, 11)] + [("b", i) for i in range(1, 4)]
+    assert named.columns == ["k", "t", "at", "nth"]
 
 
 def test_dates_of_notices(spark):
