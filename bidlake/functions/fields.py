@@ -83,27 +83,21 @@ def parse_money(text: Column) -> Column:
 
 
 # Labels and shapes of German tender notices, in the order in which they are tried.
-_REF = r"\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/_. ]{2,40})"
-_DATE = r"(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})"
-_LINE = r"\s*[:\n]\s*(.+?)(?:\n|$)"
-_BODY = r"\s*[:\n]\s*(.{20,500}?)(?:\n\n|\n[A-Z0-9]|$)"
-_TEL = r"\s*[:\-]?\s*(\+?[\d\s()/.\-]{7,25})"
-_PERSON = r"\s*[:\n]\s*(.+?)(?:\n|Tel|Fax|E-Mail|$)"
 SCALARS: dict[str, list[str]] = {
-    "vergabenummer": [r"Vergabe(?:nr\.?|nummer|kennnummer)" + _REF, r"Ausschreibungs(?:nr\.?|nummer)" + _REF, r"Bekanntmachungs(?:nr\.?|nummer|kennnummer)" + _REF, r"Referenz(?:nr\.?|nummer)" + _REF, r"Auftrag(?:snummer|snr\.?)" + _REF, r"\bVN\s*[:\-]\s*([A-Z0-9][A-Z0-9\-/_. ]{2,40})"],
+    "vergabenummer": [r"Vergabe(?:nr\.?|nummer|kennnummer)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/_. ]{2,40})", r"Ausschreibungs(?:nr\.?|nummer)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/_. ]{2,40})", r"Bekanntmachungs(?:nr\.?|nummer|kennnummer)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/_. ]{2,40})", r"Referenz(?:nr\.?|nummer)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/_. ]{2,40})", r"Auftrag(?:snummer|snr\.?)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/_. ]{2,40})", r"\bVN\s*[:\-]\s*([A-Z0-9][A-Z0-9\-/_. ]{2,40})"],
     "ted_reference": [r"TED[:\s-]*(\d{4}/S[-\s]\d{3}[-\s]\d{6,})", r"Supplement(?:ary)?\s+(?:to\s+)?(?:the\s+)?Official Journal[,\s]*(\d{4}/S[^\s,]+)", r"S\s+(\d{3}[-–]\d{6,})"],
-    "auftraggeber": [r"(?:Öffentlicher\s+)?Auftraggeber\s*[:\n]\s*(.+?)(?:\n|Anschrift|Postanschrift|Kontaktstelle|Tel\.?|Fax|$)", r"Vergabestelle\s*[:\n]\s*(.+?)(?:\n|Anschrift|Kontaktstelle|Tel\.?|Fax|$)", r"Beschaffungsstelle" + _LINE, r"Auftraggeber\s*:\s*\n?\s*([A-ZÄÖÜ][^\n]{5,80})"],
+    "auftraggeber": [r"(?:Öffentlicher\s+)?Auftraggeber\s*[:\n]\s*(.+?)(?:\n|Anschrift|Postanschrift|Kontaktstelle|Tel\.?|Fax|$)", r"Vergabestelle\s*[:\n]\s*(.+?)(?:\n|Anschrift|Kontaktstelle|Tel\.?|Fax|$)", r"Beschaffungsstelle\s*[:\n]\s*(.+?)(?:\n|$)", r"Auftraggeber\s*:\s*\n?\s*([A-ZÄÖÜ][^\n]{5,80})"],
     "titel": [r"(?:Auftrags|Ausschreibungs|Vergabe)gegenstand\s*[:\n]\s*(.+?)(?:\n\n|\n[A-Z]|$)", r"Auftragsbezeichnung\s*[:\n]\s*(.+?)\n", r"Bezeichnung\s+des\s+Auftrags\s*[:\n]\s*(.+?)\n", r"Gegenstand\s+(?:der|des)\s+(?:Ausschreibung|Vergabe|Auftrags)\s*[:\n]\s*(.+?)\n", r"Kurzbezeichnung\s*[:\n]\s*(.+?)\n", r"Titel\s*[:\n]\s*(.{10,150}?)(?:\n|$)"],
-    "veroeffentlichung": [r"Ver[öo]ffentlichungsdatum\s*[:\n]\s*" + _DATE, r"Datum\s+der\s+Ver[öo]ffentlichung\s*[:\n]\s*" + _DATE, r"Bekanntmachungsdatum\s*[:\n]\s*" + _DATE],
-    "angebotsfrist": [r"(?:Angebotsfrist|Abgabefrist|Einreichungsfrist|Schlusstermin|Bewerbungsfrist)\s*[:\n]\s*(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}(?:[,\s]+\d{2}:\d{2}(?::\d{2})?(?:\s*Uhr)?)?)", r"Frist\s+(?:für\s+)?(?:die\s+)?(?:Einreichung|Eingang|Angebote?)\s*[:\n]\s*" + _DATE, r"Eingangsfrist\s*[:\n]\s*" + _DATE, r"Bis\s+(?:zum|spätestens)\s+" + _DATE],
-    "bindefrist": [r"Bindefrist" + _LINE, r"Zuschlagsfrist" + _LINE, r"Bindung(?:s(?:frist|dauer))?" + _LINE],
-    "leistungsort": [r"Erfüllungsort" + _LINE, r"Leistungsort" + _LINE, r"Ausführungsort" + _LINE, r"NUTS[:\s-]*[A-Z]{2}\d*[A-Z0-9]*\s+(.+?)(?:\n|$)", r"Ort\s+der\s+(?:Ausführung|Lieferung|Leistung)" + _LINE],
-    "laufzeit": [r"Laufzeit\s+(?:des\s+Auftrags|der\s+(?:Rahmenvereinbarung|Leistung))?" + _LINE, r"Vertragsdauer" + _LINE, r"Leistungszeitraum" + _LINE, r"Beginn\s*[:\n]\s*\d{1,2}[./]\d{1,2}[./]\d{4}\s*.*Ende\s*[:\n]?\s*(\d{1,2}[./]\d{1,2}[./]\d{4})", r"(?:Laufzeit|Ausführungszeitraum)\s*[:\n]\s*(\d+\s*(?:Monate?|Wochen?|Jahre?|Tage?))"],
-    "contact_person": [r"Ansprechpartner" + _PERSON, r"Kontaktperson" + _PERSON, r"Bearbeiter(?:in)?" + _PERSON, r"Zuständig(?:e[rn]?)?" + _PERSON],
-    "phone": [r"Tel(?:efon|\.)" + _TEL, r"Phone" + _TEL, r"Tel\.\s*:\s*(\+?[\d\s()/.\-]{7,25})"],
-    "fax": [r"Fax" + _TEL],
+    "veroeffentlichung": [r"Ver[öo]ffentlichungsdatum\s*[:\n]\s*(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})", r"Datum\s+der\s+Ver[öo]ffentlichung\s*[:\n]\s*(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})", r"Bekanntmachungsdatum\s*[:\n]\s*(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})"],
+    "angebotsfrist": [r"(?:Angebotsfrist|Abgabefrist|Einreichungsfrist|Schlusstermin|Bewerbungsfrist)\s*[:\n]\s*(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}(?:[,\s]+\d{2}:\d{2}(?::\d{2})?(?:\s*Uhr)?)?)", r"Frist\s+(?:für\s+)?(?:die\s+)?(?:Einreichung|Eingang|Angebote?)\s*[:\n]\s*(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})", r"Eingangsfrist\s*[:\n]\s*(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})", r"Bis\s+(?:zum|spätestens)\s+(\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4})"],
+    "bindefrist": [r"Bindefrist\s*[:\n]\s*(.+?)(?:\n|$)", r"Zuschlagsfrist\s*[:\n]\s*(.+?)(?:\n|$)", r"Bindung(?:s(?:frist|dauer))?\s*[:\n]\s*(.+?)(?:\n|$)"],
+    "leistungsort": [r"Erfüllungsort\s*[:\n]\s*(.+?)(?:\n|$)", r"Leistungsort\s*[:\n]\s*(.+?)(?:\n|$)", r"Ausführungsort\s*[:\n]\s*(.+?)(?:\n|$)", r"NUTS[:\s-]*[A-Z]{2}\d*[A-Z0-9]*\s+(.+?)(?:\n|$)", r"Ort\s+der\s+(?:Ausführung|Lieferung|Leistung)\s*[:\n]\s*(.+?)(?:\n|$)"],
+    "laufzeit": [r"Laufzeit\s+(?:des\s+Auftrags|der\s+(?:Rahmenvereinbarung|Leistung))?\s*[:\n]\s*(.+?)(?:\n|$)", r"Vertragsdauer\s*[:\n]\s*(.+?)(?:\n|$)", r"Leistungszeitraum\s*[:\n]\s*(.+?)(?:\n|$)", r"Beginn\s*[:\n]\s*\d{1,2}[./]\d{1,2}[./]\d{4}\s*.*Ende\s*[:\n]?\s*(\d{1,2}[./]\d{1,2}[./]\d{4})", r"(?:Laufzeit|Ausführungszeitraum)\s*[:\n]\s*(\d+\s*(?:Monate?|Wochen?|Jahre?|Tage?))"],
+    "contact_person": [r"Ansprechpartner\s*[:\n]\s*(.+?)(?:\n|Tel|Fax|E-Mail|$)", r"Kontaktperson\s*[:\n]\s*(.+?)(?:\n|Tel|Fax|E-Mail|$)", r"Bearbeiter(?:in)?\s*[:\n]\s*(.+?)(?:\n|Tel|Fax|E-Mail|$)", r"Zuständig(?:e[rn]?)?\s*[:\n]\s*(.+?)(?:\n|Tel|Fax|E-Mail|$)"],
+    "phone": [r"Tel(?:efon|\.)\s*[:\-]?\s*(\+?[\d\s()/.\-]{7,25})", r"Phone\s*[:\-]?\s*(\+?[\d\s()/.\-]{7,25})", r"Tel\.\s*:\s*(\+?[\d\s()/.\-]{7,25})"],
+    "fax": [r"Fax\s*[:\-]?\s*(\+?[\d\s()/.\-]{7,25})"],
 }
-DESCRIPTIONS = [r"leistungsbeschreibung" + _BODY, r"beschreibung\s+(?:der\s+)?leistung" + _BODY, r"gegenstand\s+(?:der|des)\s+(?:Auftrags?|Leistung)" + _BODY, r"kurzbeschreibung" + _BODY, r"information\s+(?:über\s+)?(?:den\s+)?Auftragsgegenstand\s*[:\n]\s*(.{20,500}?)(?:\n\n|$)"]
+DESCRIPTIONS = [r"leistungsbeschreibung\s*[:\n]\s*(.{20,500}?)(?:\n\n|\n[A-Z0-9]|$)", r"beschreibung\s+(?:der\s+)?leistung\s*[:\n]\s*(.{20,500}?)(?:\n\n|\n[A-Z0-9]|$)", r"gegenstand\s+(?:der|des)\s+(?:Auftrags?|Leistung)\s*[:\n]\s*(.{20,500}?)(?:\n\n|\n[A-Z0-9]|$)", r"kurzbeschreibung\s*[:\n]\s*(.{20,500}?)(?:\n\n|\n[A-Z0-9]|$)", r"information\s+(?:über\s+)?(?:den\s+)?Auftragsgegenstand\s*[:\n]\s*(.{20,500}?)(?:\n\n|$)"]
 PROCEDURE_LABELS = [r"(?:Art\s+des\s+)?Vergabeverfahren\s*[:\n]\s*(.+?)\n", r"Verfahrensart\s*[:\n]\s*(.+?)\n", r"Auftragsart\s*[:\n]\s*(.+?)\n"]
 PROCEDURES = {"Offenes Verfahren": r"offene[sn]?\s+(?:Verfahren|Ausschreibung)", "Nichtoffenes Verfahren": r"nichtoffene[sn]?\s+Verfahren", "Verhandlungsverfahren": "Verhandlungsverfahren", "Wettbewerblicher Dialog": r"wettbewerbliche[rn]?\s+Dialog", "Innovationspartnerschaft": "Innovationspartnerschaft", "Beschleunigtes Verfahren": r"beschleunigtes?\s+Verfahren", "Freihändige Vergabe": r"freihändige\s+Vergabe", "Beschränkte Ausschreibung": r"beschränkte\s+Ausschreibung", "Öffentliche Ausschreibung": r"öffentliche\s+Ausschreibung"}
 KINDS = {"Bauauftrag": "Bauauftrag|Bauleistung", "Lieferauftrag": "Lieferauftrag|Lieferung", "Dienstleistungsauftrag": "Dienstleistungsauftrag|Dienstleistung"}

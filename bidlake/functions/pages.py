@@ -41,7 +41,7 @@ def keyword_score(text: Column) -> Column:
 
 
 def login_wall(html: Column) -> Column:
-    """(is_wall, kind, confidence): signs add up, links to documents take off, a notice of expiry decides at once."""
+    """(is_wall, kind, confidence): signs add up, links to documents take off, a notice of expiry decides at once. Only a page's first SAMPLE letters count."""
     sample = F.substring(F.coalesce(html, F.lit("")), 1, SAMPLE)
     has = lambda p: sample.rlike(f"(?iu){p}")
     many_words = F.regexp_count(sample, F.lit(f"(?iu){LOGIN_WORDS}")) >= 2

@@ -34,6 +34,7 @@ URL_TYPES: dict[str, tuple[float, list[str]]] = {
     "au_austender": (0.75, [r"tenders\.gov\.au", "austender", r"tenders\.nsw\.gov\.au", r"tenders\.vic\.gov\.au", r"qtenders|hpw\.qld\.gov\.au", r"tenders\.sa\.gov\.au|tenders\.wa\.gov\.au", r"etender.*\.gov\.au"]),
     "nz_gets": (0.75, [r"gets\.govt\.nz"]),
 }
+# Fixed value: expected success of all other types.
 UNKNOWN_SUCCESS = 0.35
 
 # Orders of strategies by URL type; the rest run the full cascade.
@@ -54,6 +55,7 @@ STRATEGY_ORDERS: dict[str, list[str]] = {
 }
 FULL_ORDER = ["existing", "deterministic", "llm_generated", "cua", "manual"]
 FULL_ORDER_KNOWN_PLATFORM = ["deterministic", "existing", "llm_generated", "cua", "manual"]
+# Platforms with the second full order.
 KNOWN_PLATFORMS = ["dtvp", "netserver"]
 
 # Platforms by URL pattern, first match.
@@ -104,6 +106,7 @@ ERROR_CATEGORIES: dict[str, str] = {
     "no_strategy": r"no template|not deterministic|no runner",
     "loop_exhausted": r"loop exhausted|max.?iterations?",
 }
+# Risk -> categories; the rest is low.
 RISKS = {"high": ["prompt_injection", "blocked_url"], "moderate": ["timeout", "network", "code_validation"]}
 
 # Outcome bucket -> (label, suggested action, categories).
@@ -117,6 +120,7 @@ BUCKETS: dict[str, tuple[str, str | None, list[str]]] = {
     "blocked": ("Blocked (security)", "Review the URL — it was blocked by SSRF/security guards.", ["blocked_url", "prompt_injection"]),
     "error": ("Error — needs investigation", "Inspect the error detail and audit trail for this item.", ["code_validation", "sandbox", "scraper_crash", "loop_exhausted", "storage", "encoding_error", "unknown"]),
 }
+# Buckets that a person can resolve.
 MANUAL_BUCKETS = ["auth_gated", "captcha"]
 
 # Injection patterns in untrusted content.
@@ -135,10 +139,11 @@ INJECTIONS: list[str] = [
     r"---+\s*\n\s*(system|assistant|user)\s*:",
     r"(?s)<\s*script[^>]*>.*?\b(eval|exec)\s*\(",
 ]
+# Hosts that are not public.
 PRIVATE_NETS = [r"^127\.", r"^10\.", r"^192\.168\.", r"^172\.(1[6-9]|2[0-9]|3[0-1])\.", r"^169\.254\.", r"^0\.", r"^localhost$", r"^::1$"]
 
+# All strategies.
 STRATEGIES = ["existing", "deterministic", "adaptive", "llm_generated", "learned_route", "cua", "manual", "none"]
-STATUSES = ["pending", "running", "success", "partial", "failed"]
 
 # What each category says to people.
 REASONS: dict[str, str] = {

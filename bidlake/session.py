@@ -24,12 +24,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset, as in tests, make one."""
+    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset, as in tests, make one, which a cluster's executors wouldn't share."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="bidlake-checkpoint-")
-    context.setCheckpointDir(folder)
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bidlake-checkpoint-"))
 
 
 def cut(frame: DataFrame) -> DataFrame:
