@@ -138,7 +138,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     Every row is indexed: rows are dealt by a hash of their id to shards of about SHARD rows, each with a small forest; each block
     of about BLOCK queries is held against each shard. Per shard, trees descend to longest-prefix matches and ascend together
-    until they give ``share`` of the shard's rows; candidates are scored exactly and the shards' best merged. The
+    until they give ``share`` of the shard's rows, and each tree on average min(rows, 4 k) at least, so that a shard of a few hundred rows is read whole; candidates are scored exactly and the shards' best merged. The
     more a query's neighbours stand out from the rest, the smaller a share does; the default suits vectors without any structure.
 
     Vectors that are null, zero, of another length than most, or with null or non-finite components take no part, nor rows with a null id.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlake.session import cut, let_go
+from bidlake.session import cut, ensure_checkpoint_dir, let_go, remove
 
 #: Letters of an n-gram, and bits of each in its key.
 ORDER, LETTER = 5, 12
@@ -59,8 +59,8 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return planes[:n].astype(np.uint16) | planes[n:].astype(np.uint16) << 8
 
 
-def text_chunks(docs: DataFrame) -> tuple[DataFrame, str]:
-    """(chunk, ids, langs, sizes, texts, codes) of (id, lang, text) in a table bucketed by chunk, and its name.
+def text_chunks(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """(chunk, ids, langs, sizes, texts, codes) of (id, lang, text) in a table bucketed by chunk, its name, and its folder beside the checkpoints.
 
     A chunk has whole texts of one task, of at most about CHUNK letters or a single longer one, packed in pieces of ``texts`` texts each. The bucketed table keeps the
     texts where they are when n-grams come to them. A null text is an empty one.
@@ -107,8 +107,10 @@ def text_chunks(docs: DataFrame) -> tuple[DataFrame, str]:
 
     name = f"texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs.select("id", "lang", "text").mapInArrow(work, schema).write.bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name), name
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    docs.select("id", "lang", "text").mapInArrow(work, schema).write.bucketBy(buckets, "chunk").option("path", folder).saveAsTable(name)
+    return spark.table(name), name, folder
 
 
 def _pieces(chunk: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -216,15 +218,18 @@ def perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     n-gram's score goes back to the chunks that have it, so that nothing is collected and texts don't move. Null texts are empty ones, which hold
     only their end; texts may have any length. Without trusted texts all letters are equally likely.
     """
-    chunks, name = text_chunks(docs)
+    chunks, name, folder = text_chunks(docs)
     spark = docs.sparkSession
-    places = chunks.select("chunk", F.posexplode("ids").alias("at", "id")).join(trusted.select("id").distinct(), "id").select("chunk", "at")
-    grams = count_ngrams(chunks, cut(places))
-    counts = cut(grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    scores = cut(score_table(counts))
-    let_go(spark)
-    found = cut(score_texts(chunks, grams.select("chunk", "gram").join(scores, "gram")))
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        places = chunks.select("chunk", F.posexplode("ids").alias("at", "id")).join(trusted.select("id").distinct(), "id").select("chunk", "at")
+        grams = count_ngrams(chunks, cut(places))
+        counts = cut(grams.groupBy("gram").agg(F.sum("n").alias("n")))
+        scores = cut(score_table(counts))
+        let_go(spark)
+        found = cut(score_texts(chunks, grams.select("chunk", "gram").join(scores, "gram")))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, folder)
     return found
 
 

@@ -133,7 +133,7 @@ def _counted(texts: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Entries that toxic texts of (text, label) have far more often than others; at most ENTRIES, from a bounded sample."""
+    """Entries that toxic texts of (text, label) have far more often than others; at most ENTRIES, from a bounded sample, of which the 20,000 most frequent terms are looked at."""
     sizes = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1.0, 0), sizes.get(0.0, 0)
     least = max(LEAST, math.ceil(toxic / 500))
