@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from bidlake import bridge
 from bidlake.functions import codecheck, fields, replies, summaries, traces
-from bidlake.operators import wide
-from bidlake.plans.procurement import query
+from bidlake.operators import harvest, wide
+from bidlake.plans import content  # noqa: F401  registers the circuit breaker
+from bidlake.plans.procurement import _RATES, FOUND, _orders_sql, query
 from bidlake.sources import documents, lists
 
 _CELLS = "list_transform(string_split(l, ', '), lambda c: trim(c))"
@@ -135,3 +136,25 @@ def _(spark, d):
 ELSE concat(CASE cast(o_orderkey % 6 AS int) WHEN 1 THEN 'import subprocess as sp, os\\n' WHEN 4 THEN 'from socket import socket\\n' ELSE '' END, 'def scrape(url, output_dir):\\n    ', CASE cast(o_orderkey % 6 AS int) WHEN 1 THEN 'subprocess.run(url)' WHEN 2 THEN 'eval(url)' ELSE 'pass' END, '\\n    return ', o_orderkey) END""")
     found = codecheck.checked_code(bridge.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), code.alias("code")))
     return found.select("id", "ok", F.array_join(F.transform("errors", lambda e: F.regexp_replace(e, "(?s)^SyntaxError.*", "SyntaxError")), "|").alias("errors"))
+
+
+@query("navigation_candidates")
+def _(spark, d):
+    return harvest.navigation(bridge.table(spark, d, "pages"))
+
+
+_GATED = ", ".join(f"'{t}'" for t in harvest.GATED_TYPES)
+
+
+@query("batch_analysis", bridge.oracle(f"""SELECT id AS position, url, k > 1 AS duplicate, CASE WHEN k = 1 THEN known_type END AS url_type, CASE WHEN k = 1 THEN known_platform END AS platform, CASE WHEN k = 1 THEN cast({_RATES} AS bigint) END AS expected,
+CASE WHEN k = 1 THEN strategies END AS strategies, CASE WHEN k = 1 THEN list_contains(string_split(strategies, ','), 'llm_generated') END AS will_use_llm, CASE WHEN k = 1 THEN list_contains(string_split(strategies, ','), 'cua') END AS will_use_cua,
+CASE WHEN k = 1 AND known_type IN ({_GATED}) THEN concat('Auth-gated portal (', known_type, ') — expect ~5% success. Only CUA (visual login) has any chance; LLM generation is skipped.') END AS warning
+FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS k FROM items) JOIN ({_orders_sql()}) USING (id)"""))
+def _(spark, d):
+    found = harvest.batch_analysis(bridge.job_items(spark, d))
+    return found.select("position", "url", "duplicate", "url_type", "platform", F.round(F.col("expected_success") * 100).cast("long").alias("expected"), F.array_join("strategy_order", ",").alias("strategies"), "will_use_llm", "will_use_cua", "warning")
+
+
+@query("circuit_listing", f"""SELECT count(*) AS total_tracked, count(*) FILTER (state = 'open') AS "open", count(*) FILTER (state = 'half_open') AS half_open FROM (SELECT domain, arg_max(state, s) AS state FROM (SELECT domain, state, row_number() OVER (PARTITION BY domain ORDER BY "at", state) AS s FROM ({FOUND['circuit_breaker'][1]})) GROUP BY 1)""")
+def _(spark, d):
+    return harvest.circuits(FOUND["circuit_breaker"][0](spark, d))
