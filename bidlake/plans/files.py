@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidlake import bridge
-from bidlake.functions import codecheck, fields, replies, summaries, traces
+from bidlake.functions import candidates, codecheck, fields, replies, summaries, traces
 from bidlake.operators import harvest, wide
 from bidlake.plans import content  # noqa: F401  registers the circuit breaker
 from bidlake.plans.procurement import _RATES, FOUND, _orders_sql, query
@@ -158,3 +158,34 @@ def _(spark, d):
 @query("circuit_listing", f"""SELECT count(*) AS total_tracked, count(*) FILTER (state = 'open') AS "open", count(*) FILTER (state = 'half_open') AS half_open FROM (SELECT domain, arg_max(state, s) AS state FROM (SELECT domain, state, row_number() OVER (PARTITION BY domain ORDER BY "at", state) AS s FROM ({FOUND['circuit_breaker'][1]})) GROUP BY 1)""")
 def _(spark, d):
     return harvest.circuits(FOUND["circuit_breaker"][0](spark, d))
+
+
+@query("scored_links")
+def _(spark, d):
+    return candidates.document_links(bridge.table(spark, d, "pages"))
+
+
+_NAMES = ["Tender notice", "Bill of Quantities", "Photo gallery", "", "Site archive"]
+_PATHS = ["/files/a.pdf", "/download?file=", "/img/x.png?v=", "/about", "/pack.ZIP"]
+
+
+def _candidates_sql() -> str:
+    pick = lambda values, at: f"CASE cast({at} AS int) " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+    words = " + ".join(f"contains(heap, '{w}')::INT * {4 if w in candidates.WEIGHTY else 2}" for w in candidates.IMPORTANT) + "".join(f" - contains(heap, '{w}')::INT * 4" for w in candidates.UNIMPORTANT)
+    listed = lambda values: ", ".join(f"'{v}'" for v in values)
+    any_of = lambda text, values: "(" + " OR ".join(f"contains({text}, '{v}')" for v in values) + ")"
+    return f"""WITH named AS (SELECT id, {pick(_NAMES, 'id % 5')} AS name, concat('HTTPS://D', job_id % 9, '.example.org', {pick(_PATHS, 'id % 7 % 5')}, CASE WHEN id % 3 = 0 THEN '#top' ELSE '' END) AS link FROM items),
+heaps AS (SELECT *, lower(concat_ws(' ', nullif(name, ''), link)) AS heap, lower(regexp_extract(regexp_extract(link, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '[^/.]([.][^./]+)$', 1)) AS ending FROM named),
+scored AS (SELECT *, (ending IN ({listed(candidates.ENDINGS)}))::INT * 3 + (ending IN ({listed(candidates.ENDINGS)}) OR {any_of('lower(link)', candidates.DOWNLOAD_HINTS)})::INT * 2 + {any_of('lower(name)', [*candidates.IMPORTANT, *candidates.SECTIONS])}::INT * 2 + {words}
+- (ending IN ({listed(candidates.BLOCKED)}))::INT * 8 + (contains(heap, 'archive') OR ending IN ('.zip', '.rar', '.7z'))::INT AS score FROM heaps)
+SELECT id, link, score, CASE WHEN score >= 7 THEN 'high' ELSE 'medium' END AS priority FROM (SELECT *, row_number() OVER (PARTITION BY lower(regexp_extract(link, '^([A-Za-z]+://[^/?#]*)', 1)) || regexp_extract(link, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) ORDER BY id) AS k FROM scored WHERE score >= 4) WHERE k = 1"""
+
+
+@query("important_documents", bridge.oracle("SELECT * FROM (" + _candidates_sql() + ")"))
+def _(spark, d):
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    link = F.concat(F.lit("HTTPS://D"), (F.col("job_id") % 9).cast("string"), F.lit(".example.org"), pick(_PATHS, F.col("id") % 7 % 5), F.when(F.col("id") % 3 == 0, "#top").otherwise(""))
+    rows = bridge.job_items(spark, d).select("id", pick(_NAMES, F.col("id") % 5).alias("name"), F.lit(None).cast("string").alias("text"), link.alias("link"), F.lit(1).alias("page"))
+    host = F.regexp_extract(F.lower("link"), "^([a-z]+://[^/]*)", 1)
+    found = candidates.important_documents(rows.withColumn("page", host), "page", "id", "name", "text", "link")
+    return found.select("id", "link", "score", "priority")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from pathlib import PurePosixPath
 from urllib.parse import urljoin, urlsplit
 
 import duckdb
+from pyspark.sql import functions as F
 
 from bidlake import catalog
-from bidlake.functions import pages
+from bidlake.functions import candidates, pages
 from bidlake.operators import harvest
 from tests.oracle import SMALL
 
@@ -60,3 +62,56 @@ def test_batches_with_nulls(spark):
     frame = spark.createDataFrame([(1, None), (2, None), (3, "https://sam.gov/opp/1"), (4, "https://sam.gov/opp/1"), (5, "https://dfg.e-va.eu/bundde?data=1")], "id int, url string")
     rows = {r["position"]: (r["duplicate"], r["url_type"], r["warning"] is not None) for r in harvest.batch_analysis(frame).collect()}
     assert rows == {1: (False, "unknown", False), 2: (True, None, False), 3: (False, "us_sam", False), 4: (True, None, False), 5: (False, "eva_portal", True)}
+
+
+def points(url, text, page_host):
+    low, said, parts = url.lower(), (text or "").strip().lower(), urlsplit(url)
+    host = parts.netloc.lower()
+    if host and host != page_host and not any(h in host for h in candidates.KNOWN_HOSTS):
+        return 0
+    if any(k in low for k in candidates.SKIPPED_URL) or any(k in said for k in candidates.SKIPPED_TEXT):
+        return 0
+    ending = PurePosixPath(parts.path.lower()).suffix in candidates.DOCUMENT_ENDINGS
+    return ending + (2 if any(k in said for k in candidates.STRONG_TEXT) else int(any(k in low for k in candidates.HINTING_URL)))
+
+
+def plain_links(url, html):
+    seen, found, host = set(), [], urlsplit(url).netloc.lower()
+    for href, body in re.findall(r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"'>]*)[\"'][^>]*>(.*?)</a\s*>", html or ""):
+        text = re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", body)).strip()
+        link = urljoin(url, href)
+        if not href or re.match("(?i)#|javascript:|mailto:|tel:", href) or link in seen:
+            continue
+        seen.add(link)
+        n = points(link, text, host) or (2 if "evergabe" in host and any(k in link for k in ("document", "/api/file/", "download")) else 0)
+        found += [(n, link, text)] if n else []
+    return [(i, link, text, n) for i, (n, link, text) in enumerate(sorted(found, key=lambda f: -f[0]), 1)]
+
+
+def test_scored_links_of_every_page(spark):
+    rows = duckdb.sql(f"SELECT page_id, url, html FROM '{SMALL}/pages.parquet'").fetchall()
+    expected = sorted((i, *c) for i, url, html in rows for c in plain_links(url, html))
+    assert sorted(map(tuple, catalog.queries()["scored_links"](spark, SMALL).collect())) == expected
+
+
+def test_scored_links_of_odd_pages(spark):
+    html = "".join(f'<a href="{h}">{t}</a>' for h, t in [
+        ("a.pdf", "x"), ("b.PDF", "Unterlagen"), ("/x/vergabe", "y"), ("https://o.example/c.pdf", "Unterlagen"), ("https://www.had.de/d.zip", ""), ("/login/e.pdf", "Unterlagen"), ("f.pdf", "Impressum"),
+        ("a.pdf", "Download"), ("/documents/7", "plain"), ("/x/g", "LV 7"), ("tel:1", "Download"), (".pdf", "z"), ("../h.x83?q#p", "<b>Alle</b> Dokumente"),
+    ])
+    cases = [(1, "https://p.example/q/r", html), (2, "https://www.evergabe-x.de/q", html), (3, "https://p.example/", None)]
+    frame = spark.createDataFrame(cases, "page_id int, url string, html string")
+    assert sorted(map(tuple, candidates.document_links(frame).collect())) == sorted((i, *c) for i, u, h in cases for c in plain_links(u, h))
+
+
+def test_candidates_with_reasons(spark):
+    rows = [
+        (1, "Bill of Quantities", None, "https://x.example/boq.pdf"), (2, "", "Photo gallery", "https://x.example/p.png"), (3, None, None, "https://x.example/about"),
+        (4, "tender", "see", "https://X.example/boq.pdf#2"), (5, "pack", None, "https://x.example/archive"), (6, "Annex", None, "https://x.example/n"),
+    ]
+    frame = spark.createDataFrame(rows, "id int, name string, text string, url string").withColumn("page", F.lit(1))
+    found = {r["id"]: (r["score"], r["reason"], r["priority"]) for r in frame.select("id", candidates.candidate(F.col("name"), F.col("text"), F.col("url")).alias("c")).select("id", "c.*").collect()}
+    assert found[1] == (15, "document extension .pdf, download-style url, document-style label, keyword:boq, keyword:bill of quantities", "high")
+    assert found[2] == (-16, "unimportant:gallery, unimportant:photo, blocked extension .png", "low") and found[3] == (0, "no strong signal", "low")
+    assert found[5] == (1, "archive may contain tender pack", "low") and found[6] == (4, "document-style label, keyword:annex", "medium")
+    assert sorted(r["id"] for r in candidates.important_documents(frame, "page", "id", "name", "text", "url").collect()) == [1, 6]
