@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlake.plans import content, files, procurement, reports  # noqa: F401  all register their queries
+from bidlake.plans import content, files, operations, procurement, reports  # noqa: F401  all register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
