@@ -153,3 +153,11 @@ def tender_status(deadline: Column, now: Column) -> Column:
     """Whole days left, rounded down: fewer than 7 means closing soon."""
     days = F.floor(F.timestamp_diff("SECOND", now, deadline) / F.lit(86400.0))
     return F.when(deadline.isNull(), "deadline_unknown").when(days < 7, "closing_soon").otherwise("open")
+
+
+def redacted_with_hits(text: Column) -> Column:
+    """(text, hits): the redacted text, and the patterns that each were found in what the patterns before had left."""
+    none = F.array().cast("array<string>")
+    start = F.struct(text.alias("text"), none.alias("hits"))
+    step = lambda s, p: F.struct(F.regexp_replace(s["text"], p, F.lit("[REDACTED:injection]")).alias("text"), F.when(F.regexp_like(s["text"], p), F.concat(s["hits"], F.array(F.substr(p, F.lit(6))))).otherwise(s["hits"]).alias("hits"))
+    return F.aggregate(F.array(*[F.lit(f"(?iu){p}") for p in rules.INJECTIONS]), start, step)

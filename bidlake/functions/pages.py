@@ -111,3 +111,21 @@ def real_document(name: Column, content: Column) -> Column:
         .when(starts("526172211A07"), "rar").when(suffix.isin(known), "extension_text_ok").otherwise("unknown_content")
     )
     return F.struct((~reason.isin("too_small", "html_extension", "html_content", "unknown_content")).alias("ok"), reason.alias("reason"))
+
+
+def wall_evidence(html: Column) -> Column:
+    """What speaks for and against a wall, in words, in the order of the signs; a notice of expiry alone if there is one. Of the same first SAMPLE letters as ``login_wall``."""
+    sample = F.substring(F.coalesce(html, F.lit("")), 1, SAMPLE)
+    has = lambda p: sample.rlike(f"(?iu){p}")
+    times = lambda p: F.regexp_count(sample, F.lit(f"(?iu){p}"))
+    signs = [
+        F.when(has(PASSWORD), F.lit("password input field present")),
+        F.when(has(LOGIN_FORM), F.lit("form posts to a login/auth endpoint")),
+        F.when(times(LOGIN_WORDS) >= 2, F.concat(times(LOGIN_WORDS).cast("string"), F.lit(" login-vocabulary matches"))),
+        F.when(has(REGISTER_WORDS), F.lit("registration prompt present")),
+        F.when(has(GATED), F.lit("page text states documents require login/registration")),
+        F.when(has(CAPTCHA), F.lit("CAPTCHA / bot-challenge markers")),
+        F.when(times(DOCUMENT_LINK) > 0, F.concat(times(DOCUMENT_LINK).cast("string"), F.lit(" public document link(s) present — not a hard wall"))),
+    ]
+    expired = F.concat(F.lit('expiry notice on page: "'), F.substring(F.regexp_extract(sample, f"(?iu)({EXPIRED})", 1), 1, 100), F.lit('"'))
+    return F.when(has(EXPIRED), F.array(expired)).otherwise(F.array_compact(F.array(*signs)))

@@ -181,3 +181,60 @@ def label(text: Column) -> Column:
 def backoff(attempt: Column, base: float = 1.0, most: float = 8.0) -> Column:
     """Seconds before the next attempt, without the random part."""
     return F.least(F.lit(most), base * F.pow(F.lit(2.0), attempt - 1))
+
+
+def retry_after(header: Column) -> Column:
+    """Seconds that a Retry-After header asks for, at most 10; null for dates, other texts and none."""
+    seconds = F.nullif(F.trim(header), F.lit("")).try_cast("double")
+    return F.when(seconds.isNotNull(), F.least(F.lit(10.0), seconds))
+
+
+def single_encoded(url: Column) -> Column:
+    """A URL whose percent signs were encoded twice, with one encoding less."""
+    return F.regexp_replace(url, "%25([0-9A-Fa-f]{2})", "%$1")
+
+
+def without_documents(url: Column) -> Column:
+    """A notice's address without a trailing /documents; null where there is none."""
+    return F.when(url.rlike("(?i)/documents/?$"), F.regexp_replace(url, "(?i)/documents/?$", ""))
+
+
+# Other addresses of a notice by portal: what the host has, a pattern of its key in path or query, and the addresses with the key.
+_UUID = "([0-9a-f-]{36})"
+ALTERNATIVES: list[tuple[str, str, list[str]]] = [
+    (
+        "bieterzugang.deutsche-evergabe.de", f"/subproject/{_UUID}|[?&]subProjectId=([^&]+)",
+        ["{key}", "https://www.deutsche-evergabe.de/dashboards/DetailsDashboard/{key}", "https://www.deutsche-evergabe.de/vergabe/detail/{key}", "https://bieterzugang.deutsche-evergabe.de/evergabe.bieter/DownloadTenderFiles.ashx?subProjectId={key}"],
+    ),
+    ("auftraege.bayern.de", f"^[^?]*?{_UUID}", ["https://www.auftraege.bayern.de/dashboards/dashboard_off/{key}", "https://www.auftraege.bayern.de/evergabe.bieter/DownloadTenderFiles.ashx?subProjectId={key}"]),
+    ("evergabe.bayern.de", f"/deeplink/subproject/{_UUID}", ["https://www.evergabe.bayern.de/tenderdetails/{key}", "https://www.evergabe.bayern.de/vergabe/{key}"]),
+    (
+        "", r"^[^?]*(?:PublicationControllerServlet|TenderingProcedureDetails)[^?]*\?(?:(?=.*?TWOID=).*?TWOID=|.*?TenderOID=)([^&]+)",
+        [
+            "{base}/NetServer/PublicationControllerServlet?function=Detail&TWOID={key}&PublicationType=0", "{base}/NetServer/PublicationControllerServlet?function=Detail&TWOID={key}&PublicationType=4",
+            "{base}/NetServer/TenderingProcedureDetails?function=_Details&TenderOID={key}", "{base}/NetServer/TenderingProcedureDetails?function=_Details&TenderOID={key}&view=documents",
+        ],
+    ),
+    *[
+        (
+            host, "^[^?]*?(54321-Tender-[a-f0-9-]+)",
+            [
+                "{base}/NetServer/TenderingProcedureDetails?function=_Details&TenderOID={key}", "{base}/NetServer/PublicationControllerServlet?function=Detail&TWOID={key}&PublicationType=0",
+                "https://europa.vergabe24.de/NetServer/TenderingProcedureDetails?function=_Details&TenderOID={key}", "https://europa.vergabe24.de/NetServer/PublicationControllerServlet?function=Detail&TWOID={key}&PublicationType=0",
+            ],
+        )
+        for host in ("vergabe24.de", "tender24.de")
+    ],
+    ("subreport.de", r"^[^?]*/E(\d+)(?:\?|$)", ["https://www.subreport.de/E{key}"]),
+]
+
+
+def alternatives(url: Column) -> Column:
+    """Other addresses under which a portal may have a notice, the likelier first, without repeats and without the address itself."""
+    host, base, rest = F.lower(part(url, 2)), part(url, 1), F.concat(part(url, 3), part(url, 4))
+    found = []
+    for name, pattern, addresses in ALTERNATIVES:
+        groups = [F.nullif(F.regexp_extract(rest, pattern, i + 1), F.lit("")) for i in range(2 if "|[?&]" in pattern else 1)]
+        key = F.when(host.contains(name), F.coalesce(*groups))
+        found += [F.replace(F.replace(F.lit(a), F.lit("{base}"), base), F.lit("{key}"), key) for a in addresses]
+    return F.array_except(F.array_distinct(F.array_compact(F.array(*found))), F.array(url))

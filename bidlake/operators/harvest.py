@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.functions import classify, pages, urls
+from bidlake.functions import classify, pages, rules, urls
 
 # Letters of a shown label, candidates of a page, and what a button counts more than a link.
 SHOWN, TOP, BUTTON = 80, 4, 2
@@ -74,3 +74,25 @@ def circuits(decisions: DataFrame) -> DataFrame:
     """One row: domains that are tracked, open and half open, by the last state of (domain, at, state)."""
     last = decisions.groupBy("domain").agg(F.max_by("state", F.struct("at", "state")).alias("state"))
     return last.agg(F.count(F.lit(1)).alias("total_tracked"), F.count_if(F.col("state") == "open").alias("open"), F.count_if(F.col("state") == "half_open").alias("half_open"))
+
+
+# Fixed value: what an attempt says that ended its item for safety.
+ABORTED = "Security block — pipeline aborted"
+
+
+def cascade_replay(attempts: DataFrame) -> DataFrame:
+    """The attempts that an item's cascade makes of recorded ones (item, place, strategy, success, error, retry_success), with what they come to.
+
+    An attempt with an error of moderate risk is made once more, and counts as a success, healed, if that was one. The first success ends the item; so
+    does an error of high risk. What an attempt does hangs on itself alone, so an item's end is the least place of one that ends it. Each different error
+    is classified once. Returns item, place, strategy, success, healed, category, reason.
+    """
+    known = classify.with_classes(attempts, "error", {"_category": classify.error_category(F.col("_value"))})
+    failed = ~F.col("success") & F.col("error").isNotNull() & (F.col("error") != "")
+    risk = F.when(failed, classify.error_risk(F.col("_category")))
+    healed = F.coalesce((risk == "moderate") & F.col("retry_success"), F.lit(False))
+    stops = F.coalesce(risk == "high", F.lit(False))
+    told = known.select("item", "place", "strategy", (F.col("success") | healed).alias("success"), healed.alias("healed"), stops.alias("_stops"), F.when(failed, F.col("_category")).alias("category"), F.col("error").alias("_error"))
+    ends = told.filter("success or _stops").groupBy("item").agg(F.min("place").alias("_end"))
+    reason = F.when(F.col("_stops"), ABORTED).when(F.col("category").isNotNull(), F.coalesce(classify.looked_up(F.col("category"), rules.REASONS, None), F.col("_error"))).otherwise("")
+    return told.join(ends, "item", "left").filter("_end is null or place <= _end").select("item", "place", "strategy", "success", "healed", "category", reason.alias("reason"))
