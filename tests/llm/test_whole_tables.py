@@ -234,3 +234,39 @@ def test_media_features_by_plain_transform(spark):
         assert out == data + bytes(-len(data) % 64 or (0 if data else 64))
     same = sorted((texts[i] or "", r["feature"]) for i, r in found.items())
     assert all(len({f for _, f in g}) == 1 for _, g in groupby(same, key=lambda x: x[0]))
+
+
+def test_media_feature_by_plain_cosines(spark):
+    """The hash of each text's samples: means of a 32 x 32 grid, 8 x 8 lowest cosine coefficients, above their median or not."""
+    import math
+
+    waves = [[math.cos(math.pi * (2 * x + 1) * u / 64) * math.sqrt((1 if u == 0 else 2) / 32) for x in range(32)] for u in range(8)]
+    texts = dict(rows("documents", "doc_id, text"))
+    for r in queries.op1_media(spark, SMALL).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        image = np.frombuffer(data + bytes(-len(data) % 64 or (0 if data else 64)), np.uint8).reshape(-1, 64).astype(float)
+        n = len(image)
+        spans = [(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1)) for i in range(32)]
+        grid = np.array([[image[a:b, 2 * x : 2 * x + 2].mean() for x in range(32)] for a, b in spans])
+        low = [[sum(waves[u][y] * float(np.dot(waves[v], grid[y])) for y in range(32)) for v in range(8)] for u in range(8)]
+        flat = np.array([round(c, 6) for line in low for c in line])
+        middle = (sorted(flat)[31] + sorted(flat)[32]) / 2
+        bits = "".join("1" if c > middle else "0" for c in flat)
+        wrong = bin(int(bits, 2) ^ int(r["feature"], 16)).count("1")
+        assert wrong <= sum(abs(c - middle) < 1e-5 for c in flat), r["doc_id"]  # what lies at the median may fall either way
+
+
+def test_shards_by_plain_prefix_sums(spark):
+    """Shards are contiguous in one order with gapless slots, and no row's middle lies outside its shard's part by more than its group of equal texts, or the largest row."""
+    found = queries.op3_sharding(spark, SMALL).collect()
+    ordered = sorted(found, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["slot"] for r in ordered] == [i for s in range(8) for i in range(sum(r["shard"] == s for r in found))]
+    total, most, before = sum(r["size"] for r in found), max(r["size"] for r in found), 0
+    for r in ordered:
+        middle = before + r["size"] / 2
+        assert r["shard"] * total / 8 - most <= middle <= (r["shard"] + 1) * total / 8 + most
+        before += r["size"]
+    places = {}
+    for i, r in enumerate(ordered):
+        places.setdefault((r["size"], r["text_crc32"]), []).append(i)
+    assert all(b - a == 1 for own in places.values() for a, b in zip(own, own[1:]))  # equal texts are neighbours
