@@ -60,7 +60,7 @@ def turn_digests(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def in_order(digests: DataFrame) -> DataFrame:
-    """(conv, depth, a, b, bytes), depth from 1, by turn; a null turn is first, equal turns stand by their hashes."""
+    """(conv, depth, a, b, bytes), depth from 1, by turn; a null turn is first, equal turns stand by their hashes, so that texts needn't be sorted."""
     placed = running(digests, "conv", [F.col("turn").asc_nulls_first(), F.col("a"), F.col("b")], nth="nth")
     return placed.select("conv", (F.col("nth") + 1).alias("depth"), "a", "b", "bytes")
 

@@ -259,8 +259,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A block names a bucket's few surroundings, or says that it has many, so that a very common string is a few records a block, and a group of copies
     one a block. Spans are (begin, end) in bytes, in order and apart; ``kept`` is what is left, null unless ``with_bytes``. A null text is empty, and keeps its row; null ids come first; rows
-    equal in id come in the order of a hash of their texts, so of repeated rows the first stays whole. Texts may be of any length and no two
-    texts need fit a task together. Other columns don't matter; no rows, no rows.
+    equal in id come in the order of a hash of their texts, so of repeated rows the first stays whole. Texts may be of any length that
+    a cell holds; a block is a task's work, which takes about 40 bytes for each byte of a text whose strings all are to be compared, far less for others. No two
+    texts of over BLOCK bytes are in memory together. Other columns don't matter; no rows, no rows.
     """
     spark = docs.sparkSession
     blocks, name, folder, packs = text_blocks(docs, id_col, text_col)
