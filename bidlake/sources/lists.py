@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Separators in the order in which they are preferred, and headers of URL columns: of lists as they come, and of lists in the order of the headers here.
