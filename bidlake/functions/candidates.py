@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidlake.functions import pages, urls
+from bidlake.functions.once import once
 
 # The words of links that are documents and of those that never are, and hosts whose documents count on other sites.
 DOCUMENT_ENDINGS = [".pdf", ".zip", ".doc", ".docx", ".xls", ".xlsx", ".rar", ".7z", ".odt", ".ods", ".p7s", ".gaeb", ".x81", ".x83", ".d83", ".d84"]
@@ -82,25 +82,43 @@ def candidate(name: Column, text: Column, url: Column, extension: Column | None
     """(score, reason, priority) of a document candidate by its name, its link's text and its address; its extension is the address's if none is given."""
     held = lambda c: F.nullif(c, F.lit(""))
     heap = F.lower(F.concat_ws(" ", held(name), held(text), held(url)))
-    ending = F.coalesce(held(extension), _ending(url)) if extension is not None else _ending(url)
     label = F.lower(F.trim(F.regexp_replace(F.coalesce(held(text), name, F.lit("")), r"\s+", " ")))
-    signs = [
-        (ending.isin(ENDINGS), 3, F.concat(F.lit("document extension "), ending)),
-        (_ending(url).isin(ENDINGS) | _any(F.lower(url), DOWNLOAD_HINTS), 2, F.lit("download-style url")),
-        (_any(label, [*IMPORTANT, *SECTIONS]), 2, F.lit("document-style label")),
-        *[(heap.contains(w), 4 if w in WEIGHTY else 2, F.lit(f"keyword:{w}")) for w in IMPORTANT],
-        *[(heap.contains(w), -4, F.lit(f"unimportant:{w}")) for w in UNIMPORTANT],
-        (ending.isin(BLOCKED), -8, F.concat(F.lit("blocked extension "), ending)),
-        (heap.contains("archive") | ending.isin(".zip", ".rar", ".7z"), 1, F.lit("archive may contain tender pack")),
-    ]
-    found = F.array_compact(F.array(*[F.when(sign, F.struct(F.lit(points).alias("points"), why.alias("why"))) for sign, points, why in signs]))
-    score = F.aggregate(found, F.lit(0), lambda s, f: s + f["points"])
-    reason = F.coalesce(held(F.array_join(F.transform(found, lambda f: f["why"]), ", ")), F.lit("no strong signal"))
-    return F.struct(score.alias("score"), reason.alias("reason"), F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low").alias("priority"))
+    of_url = _ending(url)
+    given = F.coalesce(held(extension), of_url) if extension is not None else of_url
+    known = F.struct(heap.alias("heap"), label.alias("label"), of_url.alias("of_url"), given.alias("ending"), F.lower(url).alias("low"))
+
+    def signs(k: Column) -> Column:
+        heap, ending = k["heap"], k["ending"]
+        all_signs = [
+            (ending.isin(ENDINGS), 3, F.concat(F.lit("document extension "), ending)),
+            (k["of_url"].isin(ENDINGS) | _any(k["low"], DOWNLOAD_HINTS), 2, F.lit("download-style url")),
+            (_any(k["label"], [*IMPORTANT, *SECTIONS]), 2, F.lit("document-style label")),
+            *[(heap.contains(w), 4 if w in WEIGHTY else 2, F.lit(f"keyword:{w}")) for w in IMPORTANT],
+            *[(heap.contains(w), -4, F.lit(f"unimportant:{w}")) for w in UNIMPORTANT],
+            (ending.isin(BLOCKED), -8, F.concat(F.lit("blocked extension "), ending)),
+            (heap.contains("archive") | ending.isin(".zip", ".rar", ".7z"), 1, F.lit("archive may contain tender pack")),
+        ]
+        return F.array_compact(F.array(*[F.when(sign, F.struct(F.lit(points).alias("points"), why.alias("why"))) for sign, points, why in all_signs]))
+
+    reason = lambda f: F.coalesce(held(F.array_join(F.transform(f, lambda x: x["why"]), ", ")), F.lit("no strong signal"))
+    scored = lambda f: F.struct(F.aggregate(f, F.lit(0), lambda s, x: s + x["points"]).alias("score"), reason(f).alias("reason"))
+    ranked = lambda r: F.struct(r["score"].alias("score"), r["reason"].alias("reason"), F.when(r["score"] >= HIGH, "high").when(r["score"] >= MEDIUM, "medium").otherwise("low").alias("priority"))
+    return once(once(once(known, signs), scored), ranked)
 
 
 def important_documents(rows: DataFrame, group: str, order: str, name: str, text: str, url: str) -> DataFrame:
-    """The candidates of medium or high priority with score, reason and priority; of each group's candidates with the same canonical address the first by ``order``."""
-    scored = rows.withColumn("_c", candidate(F.col(name), F.col(text), F.col(url))).select(*rows.columns, "_c.*").filter(F.col("score") >= MEDIUM)
-    first = F.row_number().over(W.partitionBy(group, "_canonical").orderBy(order))
-    return scored.withColumn("_canonical", pages.canonical_url(F.col(url))).withColumn("_n", first).filter("_n = 1").drop("_n", "_canonical")
+    """The candidates of medium or high priority with score, reason and priority; of each group's candidates with the same canonical address the first by ``order``, nulls first.
+
+    Candidates with the same name, text and address in a group are one before they are scored, and the first of an address is an aggregate: no address's
+    candidates are sorted or held together, however many there are.
+    """
+    said = list(dict.fromkeys([group, name, text, url]))
+    others = [c for c in rows.columns if c not in (*said, order)]
+    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"))
+    first = F.when(F.count(order) == F.count(F.lit(1)), F.min(order)).alias(order)
+    each = rows.groupBy(*said).agg(F.count(F.lit(1)).alias("_n"), first, *([F.min_by(F.struct(*others), place).alias("_others")] if others else []))
+    each = each.select(*said, order, "_n", *(["_others.*"] if others else []))
+    scored = each.withColumn("_c", candidate(F.col(name), F.col(text), F.col(url))).select(*rows.columns, "_n", "_c.*")
+    scored = scored.filter(F.when(F.col("_n") > 0, F.col("score")) >= MEDIUM).drop("_n")  # by the count too, as Spark would score before it groups
+    firsts = scored.groupBy(F.col(group).alias("_group"), pages.canonical_url(F.col(url)).alias("_canonical")).agg(F.min_by(F.struct(*scored.columns), place).alias("_first"))
+    return firsts.select("_first.*")
