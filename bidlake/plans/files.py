@@ -38,7 +38,7 @@ UNION ALL SELECT u.doc_id, 'table', n, h.label, coalesce(r[c], '') FROM used u J
 
 @query("sheet_records", _SHEETS)
 def _(spark, d):
-    rows = F.transform(F.split("text", "\n"), lambda line: F.transform(F.split(line, ", "), F.trim))
+    rows = F.transform(F.split("text", "\n"), lambda line: F.split(line, ", "))  # the reader trims cells
     table = F.array(F.struct(F.lit("text").alias("name"), rows.alias("rows")))
     found = bridge.table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("path"), F.lit(None).cast("string").alias("member"), table.alias("tables"))
     return documents.sheet_records(found).select(F.col("path").alias("doc_id"), "layout", F.col("record").cast("long").alias("record"), "label", "value")

@@ -210,16 +210,22 @@ def read_documents(spark: SparkSession, path: str, readers: dict | None = None)
 # Sheets as fields
 #: Letters that a label has at most, rounded down share of rows that must be pairs.
 LABEL, PAIRS = 60, 0.5
+#: Fixed value: blanks that are cut off cells, all of Unicode's space separators.
+BLANKS = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def _trimmed(cell: str) -> str:
+    return f"trim(BOTH '{BLANKS}' FROM {cell})"
 
 
 def used_rows(rows: str) -> str:
     """SQL for the rows of a sheet from the first that isn't blank to the one before the next blank one."""
-    blank = "not exists(r, c -> c <> '')"
-    return f"aggregate({rows}, named_struct('rows', cast(array() as array<array<string>>), 'over', false), (s, r) -> case when s.over then s when {blank} then named_struct('rows', s.rows, 'over', size(s.rows) > 0) else named_struct('rows', concat(s.rows, array(transform(r, c -> trim(c)))), 'over', false) end, s -> s.rows)"
+    blank = f"not exists(r, c -> {_trimmed('c')} <> '')"
+    return f"aggregate({rows}, named_struct('rows', cast(array() as array<array<string>>), 'over', false), (s, r) -> case when s.over then s when {blank} then named_struct('rows', s.rows, 'over', size(s.rows) > 0) else named_struct('rows', concat(s.rows, array(transform(r, c -> {_trimmed('c')}))), 'over', false) end, s -> s.rows)"
 
 
 def _numeric(cell: str) -> str:
-    return f"regexp_replace({cell}, '[ ,]', '') rlike '(?i)^[+-]?(([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$'"
+    return f"regexp_replace({cell}, '[ ,]', '') rlike '(?i)^[+-]?(([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\\\\z'"
 
 
 def sheet_records(found: DataFrame) -> DataFrame:
@@ -238,10 +244,10 @@ def sheet_records(found: DataFrame) -> DataFrame:
     layout = f"case when size(get(_rows, 0)) < 2 then 'table' when {numbers} or {pairs} then 'key_value' else 'table' end"
     laid = used.withColumn("layout", F.expr(layout))
     # The fold: what is done, and the open label's place.
-    label = "trim(TRAILING ':' FROM trim(r[0]))"
-    value = "trim(coalesce(get(r, 1), ''))"
+    label = "trim(TRAILING ':' FROM r[0])"  # used rows' cells are trimmed
+    value = "coalesce(get(r, 1), '')"
     step = f"""(s, r) -> case when {label} <> '' then concat(filter(s, x -> x.label <> {label}), array(named_struct('label', {label}, 'value', {value}, 'first', coalesce(get(filter(s, x -> x.label = {label}), 0).first, size(s)))))
-        when {value} <> '' and size(s) > 0 then concat(slice(s, 1, size(s) - 1), array(named_struct('label', element_at(s, -1).label, 'value', trim(concat(element_at(s, -1).value, ' ', {value})), 'first', element_at(s, -1).first)))
+        when {value} <> '' and size(s) > 0 then concat(slice(s, 1, size(s) - 1), array(named_struct('label', element_at(s, -1).label, 'value', {_trimmed("concat(element_at(s, -1).value, ' ', " + value + ')')}, 'first', element_at(s, -1).first)))
         else s end"""
     folded = f"aggregate(_rows, cast(array() as array<struct<label:string,value:string,first:int>>), {step})"
     kept = laid.filter("layout = 'key_value'").select("path", "member", "sheet", "layout", F.explode(F.expr(folded)).alias("_p"))

@@ -25,3 +25,12 @@ def test_important_documents_are_aggregated(spark):
     found = candidates.important_documents(frame, "page", "id", "name", "text", "url")
     assert found.columns == [*frame.columns, "score", "reason", "priority"]
     assert sorted((r["more"], r["id"]) for r in found.collect()) == [("e", 5), ("n", None)]
+
+
+def test_sheet_records_of_odd_cells(spark, tmp_path):
+    """Cells that begin or end in digits keep them; wide blanks are cut off, other signs aren't, and a number has no sign behind it."""
+    texts = ["a, 1e3, 0\nb, 10", "0a, 1\n 　,  \nz, 2", "5\r\nx, 1", "k,  1x \n, 1 \nk:, 01", "a, b, a\n1, 2, 10\n0, 1　, 2", " \n　h, 1, 2\n0, 1, 3\n\nrest, 1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = connection()
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert not differences(catalog.queries()["sheet_records"](spark, str(tmp_path)), con, catalog.oracle_sql()["sheet_records"])
