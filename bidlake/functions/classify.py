@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.functions import rules
+from bidlake.functions import literals, rules
+from bidlake.functions.once import once
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -16,13 +17,20 @@ def found(text: Column, pattern: str) -> Column:
 
 
 def first_rule(text: Column, table: dict[str, list[str] | str], default: str) -> Column:
-    """The label of the first rule that is found; null texts get the default."""
-    alternatives = {label: p if isinstance(p, str) else "|".join(f"(?:{x})" for x in p) for label, p in table.items()}
-    (label, pattern), *rest = alternatives.items()
-    case = F.when(found(text, pattern), label)
-    for label, pattern in rest:
-        case = case.when(found(text, pattern), label)
-    return case.otherwise(default)
+    """The label of the first rule that is found; null texts get the default.
+
+    Plain letters are looked for in the text in lower case, which is made once; a pattern is searched only where the text has letters that it requires.
+    """
+    joined = {label: p if isinstance(p, str) else "|".join(p) for label, p in table.items()}
+
+    def case(t: Column) -> Column:
+        (label, pattern), *rest = joined.items()
+        whole = F.when(literals.held(t["text"], t["low"], pattern), label)
+        for label, pattern in rest:
+            whole = whole.when(literals.held(t["text"], t["low"], pattern), label)
+        return whole.otherwise(default)
+
+    return once(F.struct(text.alias("text"), literals.folded(text).alias("low")), case)
 
 
 def looked_up(key: Column, table: dict[str, object], default: object) -> Column:

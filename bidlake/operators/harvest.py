@@ -56,8 +56,7 @@ def batch_analysis(listed: DataFrame, position: str = "id", url: str = "url") ->
     once. Types that ask for a login carry a warning.
     """
     firsts = listed.groupBy(url).agg(F.min(position).alias("_first")).withColumnRenamed(url, "_url")
-    v = F.col("_value")
-    kinds = classify.with_classes(firsts, "_url", {"url_type": classify.url_type(v), "platform": classify.platform(v)})
+    kinds = firsts.select("_url", "_first", classify.url_type(F.col("_url")).alias("url_type"), classify.platform(F.col("_url")).alias("platform"))
     order = classify.strategy_order(F.col("url_type"), F.col("platform"))
     warned = F.concat(F.lit("Auth-gated portal ("), F.col("url_type"), F.lit(") — expect ~5% success. Only CUA (visual login) has any chance; LLM generation is skipped."))
     known = kinds.select(

@@ -237,8 +237,7 @@ def _(spark, d):
 
 @query("url_types", oracle("SELECT id, known_type AS url_type, known_platform AS platform FROM items"))
 def _(spark, d):
-    items = bridge.job_items(spark, d).select("id", "url")
-    return classify.with_classes(items, "url", {"url_type": classify.url_type(F.col("_value")), "platform": classify.platform(F.col("_value"))}).select("id", "url_type", "platform")
+    return bridge.job_items(spark, d).select("id", classify.url_type(F.col("url")).alias("url_type"), classify.platform(F.col("url")).alias("platform"))  # most URLs are different
 
 
 def _orders_sql() -> str:
@@ -249,8 +248,8 @@ def _orders_sql() -> str:
 
 @query("url_strategy_order", oracle(f"SELECT id, strategies FROM ({_orders_sql()})"))
 def _(spark, d):
-    order = classify.strategy_order(classify.url_type(F.col("_value")), classify.platform(F.col("_value")))
-    return classify.with_classes(bridge.job_items(spark, d).select("id", "url"), "url", {"strategies": F.array_join(order, ",")}).select("id", "strategies")
+    order = classify.strategy_order(classify.url_type(F.col("url")), classify.platform(F.col("url")))
+    return bridge.job_items(spark, d).select("id", F.array_join(order, ",").alias("strategies"))
 
 
 @query(

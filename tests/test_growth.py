@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidlake import catalog
-from bidlake.functions import candidates
+from bidlake.functions import candidates, classify, literals, rules
 from tests.oracle import SMALL, connection, differences
 
 
@@ -34,3 +34,19 @@ def test_sheet_records_of_odd_cells(spark, tmp_path):
     con = connection()
     con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert not differences(catalog.queries()["sheet_records"](spark, str(tmp_path)), con, catalog.oracle_sql()["sheet_records"])
+
+
+def test_rules_by_their_letters(spark):
+    """Each rule's letters in odd cases, plain and as parts of longer patterns, against one search for each pattern."""
+    odd = str.maketrans({"s": "ſ", "k": "K", "i": "ı"})
+    said = [a.replace("\\.", ".").replace("\\?", "?").replace(".*", "-x-") for tables in (rules.PLATFORMS.values(), [v[1] for v in rules.URL_TYPES.values()], [[p] for p in rules.ERROR_CATEGORIES.values()]) for some in tables for p in some for a in literals.alternatives(p)]
+    texts = [None, "", "etender.gov.in", "etenders.gov.in", "irlgov\netender", "ghana-tender", "eprocure.gov.pk", "eprocure.gov.xx", "javascript", "exit code 0", "exit code 1", "TİMEOUT", *said, *map(str.upper, said), *[t.translate(odd) for t in said]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for table in (rules.PLATFORMS, {k: v[1] for k, v in rules.URL_TYPES.items()}, rules.ERROR_CATEGORIES):
+        whole = {label: p if isinstance(p, str) else "|".join(f"(?:{x})" for x in p) for label, p in table.items()}
+        searched = F.coalesce(*[F.when(F.col("t").rlike(f"(?iu){p}"), label) for label, p in whole.items()], F.lit("unknown"))
+        wrong = frame.select("t", classify.first_rule(F.col("t"), table, "unknown").alias("a"), searched.alias("b")).filter("a <> b").collect()
+        assert not wrong
+    assert literals.required(r"etenders?\.gov\.in") == ("etender", False) and literals.required(r"sam\.gov") == ("sam.gov", True) and literals.required(r"a+b*cd") == ("cd", False)
+    assert literals.may_have(F.lit(""), r"\d+|abc") is None
+    assert "rlike" not in plan(frame.select(classify.first_rule(F.col("t"), {"x": [r"sam\.gov", "a/b"]}, ""))).lower()
