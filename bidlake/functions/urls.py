@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bidlake.functions.once import once
+
 # URLs that are documents, pages that aren't tenders, marks of platforms in their pages, walls in their order.
 DOWNLOADISH = "download|getdocument|documentfile|getfile|attachment|docid=|unterlagen"
 DOWNLOADS = ["_DownloadTenderDocuments", "_DownloadDocument", "_DownloadAll", "function=.*[Dd]ownload", r"DownloadTenderFiles\.ashx", "DirectDocload", "zipDownloadButton", "downloadAllButton"]
@@ -45,9 +48,9 @@ def tender_id(url: Column) -> Column:
 
 def _parameter(url: Column, name: str) -> Column:
     """The first value of a query parameter, decoded, empty if it has none; null if it isn't there."""
-    query = F.coalesce(part(url, 4), F.lit(""))
-    raw = F.when(query.rlike(f"[?&]{name}="), F.regexp_extract(query, f"[?&]{name}=([^&]*)", 1))
-    return F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))
+    raw = lambda query: F.when(query.rlike(f"[?&]{name}="), F.regexp_extract(query, f"[?&]{name}=([^&]*)", 1))
+    decoded = lambda value: F.coalesce(F.try_url_decode(value), F.replace(value, F.lit("+"), F.lit(" ")))
+    return F.when(url.contains(f"{name}="), once(once(F.coalesce(part(url, 4), F.lit("")), raw), decoded))
 
 
 def netserver_urls(url: Column) -> Column:
@@ -56,13 +59,15 @@ def netserver_urls(url: Column) -> Column:
     The key is the parameter TenderOID, else TWOID; where that is missing or empty, what looks like one anywhere in the URL.
     """
     key = F.coalesce(F.nullif(F.coalesce(_parameter(url, "TenderOID"), _parameter(url, "TWOID")), F.lit("")), tender_id(url))
-    folder = F.regexp_extract(part(url, 3), "(?i)^(/.*?/NetServer/)", 1)
-    base = F.concat(part(url, 1), F.when(folder != "", folder).otherwise("/NetServer/"))
-    details = lambda function, more="": F.concat(base, F.lit(f"TenderingProcedureDetails?function={function}&TenderOID="), key, F.lit(more))
-    document = F.concat(base, F.lit("PublicationControllerServlet?function=GetDocumentFile&TWOID="), key)
-    load = "_DownloadTenderDocuments"
-    found = F.array(details(load), details("_DownloadPublicationDocuments"), document, details(load, "&DocumentType=0"), details(load, "&DocumentType=1"))
-    return F.when(key.isNotNull(), found)
+    folder = once(F.regexp_extract(part(url, 3), "(?i)^(/.*?/NetServer/)", 1), lambda f: F.when(f != "", f).otherwise("/NetServer/"))
+
+    def found(k: Column) -> Column:
+        details = lambda function, more="": F.concat(k["base"], F.lit(f"TenderingProcedureDetails?function={function}&TenderOID="), k["key"], F.lit(more))
+        document = F.concat(k["base"], F.lit("PublicationControllerServlet?function=GetDocumentFile&TWOID="), k["key"])
+        load = "_DownloadTenderDocuments"
+        return F.array(details(load), details("_DownloadPublicationDocuments"), document, details(load, "&DocumentType=0"), details(load, "&DocumentType=1"))
+
+    return once(key, lambda k: F.when(k.isNotNull(), once(F.struct(k.alias("key"), F.concat(part(url, 1), folder).alias("base")), found)))
 
 
 def is_external(href: Column, page: Column) -> Column:
@@ -230,11 +235,22 @@ ALTERNATIVES: list[tuple[str, str, list[str]]] = [
 
 
 def alternatives(url: Column) -> Column:
-    """Other addresses under which a portal may have a notice, the likelier first, without repeats and without the address itself."""
-    host, base, rest = F.lower(part(url, 2)), part(url, 1), F.concat(part(url, 3), part(url, 4))
-    found = []
-    for name, pattern, addresses in ALTERNATIVES:
-        groups = [F.nullif(F.regexp_extract(rest, pattern, i + 1), F.lit("")) for i in range(2 if "|[?&]" in pattern else 1)]
-        key = F.when(host.contains(name), F.coalesce(*groups))
-        found += [F.replace(F.replace(F.lit(a), F.lit("{base}"), base), F.lit("{key}"), key) for a in addresses]
-    return F.array_except(F.array_distinct(F.array_compact(F.array(*found))), F.array(url))
+    """Other addresses under which a portal may have a notice, the likelier first, without repeats and without the address itself.
+
+    The URL is taken apart once, a portal's key is looked for once, and addresses are made only where there is one.
+    """
+    none = F.array().cast("array<string>")
+
+    def filled(base: Column, addresses: list[str]) -> Callable[[Column], Column]:
+        made = lambda key: F.array(*[F.replace(F.replace(F.lit(a), F.lit("{base}"), base), F.lit("{key}"), key) for a in addresses])
+        return lambda key: F.when(key.isNotNull(), made(key)).otherwise(none)
+
+    def others(u: Column) -> Column:
+        found = []
+        for name, pattern, addresses in ALTERNATIVES:
+            groups = [once(F.regexp_extract(u["rest"], pattern, i + 1), lambda g: F.when(g != "", g)) for i in range(2 if "|[?&]" in pattern else 1)]
+            found.append(once(F.when(u["host"].contains(name), F.coalesce(*groups)), filled(u["base"], addresses)))
+        return F.concat(*found)
+
+    taken = F.struct(F.lower(part(url, 2)).alias("host"), part(url, 1).alias("base"), F.concat(part(url, 3), part(url, 4)).alias("rest"))
+    return F.array_except(F.array_distinct(F.array_compact(once(taken, others))), F.array(url))
