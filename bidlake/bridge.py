@@ -86,6 +86,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt evenly by key before much is made of each: files of few bytes are few tasks, and Spark joins few bytes in few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _pick(index: str, values: list[str]) -> str:
     quoted = [v.replace("'", "''") for v in values]
     return f"CASE {index} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(quoted)) + " END"
@@ -154,6 +159,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def tender_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered tender notices whose fields are known columns."""
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = dealt(joined.select("o_orderkey", "o_custkey", "o_orderdate", "c_name"), "o_orderkey")
     date = F.date_format("o_orderdate", "dd.MM.yyyy")
     text = F.concat(
         F.lit("Vergabenummer: V-"), F.col("o_orderkey").cast("string"), F.lit("\nAuftraggeber: "), F.col("c_name"), F.lit("\nAuftragsbezeichnung: Los "), F.col("o_orderkey").cast("string"),

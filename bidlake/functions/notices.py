@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bidlake.functions.once import once
+
 # Months by name, words of each kind of tender, parts of links that say what they lead to.
 MONTHS: dict[str, int] = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12, "mär": 3, "mai": 5, "okt": 10, "dez": 12,
@@ -31,29 +33,36 @@ def _any(text: Column, parts: list[str]) -> Column:
 
 def _day(year: Column, month: Column, day: Column) -> Column:
     """ISO form of numbers that can be a date; else null."""
-    y, m, d = (c.try_cast("int") for c in (year, month, day))
-    return F.when(y.between(1900, 2100) & m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d))
+    numbers = F.struct(*[c.try_cast("int").alias(n) for n, c in (("y", year), ("m", month), ("d", day))])
+    shown = lambda n: F.when(n["y"].between(1900, 2100) & n["m"].between(1, 12) & n["d"].between(1, 31), F.format_string("%04d-%02d-%02d", n["y"], n["m"], n["d"]))
+    return once(numbers, shown)
 
 
 def _pivoted(year: Column) -> Column:
     """Years of two digits: below 50 in this century."""
-    n = year.try_cast("int")
-    return F.when(n < 50, n + 2000).when(n < 100, n + 1900).otherwise(n).cast("string")
+    return once(year.try_cast("int"), lambda n: F.when(n < 50, n + 2000).when(n < 100, n + 1900).otherwise(n).cast("string"))
 
 
 def iso_date(raw: Column) -> Column:
-    """(value, low_confidence): the first form that is found and can be a date, in ISO form, else the text itself; blank: null."""
-    text = F.trim(raw)
+    """(value, low_confidence): the first form that is found and can be a date, in ISO form, else the text itself; blank: null.
+
+    A form's parts are taken out only of texts that have it, and each is worked out once.
+    """
     names = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
     month = lambda c: F.try_element_at(names, F.lower(c)).cast("string")
-    get = lambda pattern: [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
-    slashed, dotted, short = get(r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})"), get(r"(\d{1,2})\.(\d{1,2})\.(\d{4})"), get(r"(\d{1,2})\.(\d{1,2})\.(\d{2})$")
-    dashed, worded, english = get(r"(\d{1,2})-([A-Za-z]{3})-(\d{2,4})"), get(r"(\d{1,2})\s+([A-Za-z]+),?\s+(\d{4})"), get(r"([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})")
-    found = F.coalesce(
-        F.nullif(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), _day(slashed[2], slashed[1], slashed[0]), _day(dotted[2], dotted[1], dotted[0]), _day(_pivoted(short[2]), short[1], short[0]),
-        _day(_pivoted(dashed[2]), month(dashed[1]), dashed[0]), _day(worded[2], month(worded[1]), worded[0]), _day(english[2], month(english[0]), english[1]),
-    )
-    return F.when(F.coalesce(text, F.lit("")) != "", F.struct(F.coalesce(found, text).alias("value"), found.isNull().alias("low_confidence")))
+    forms = [
+        (r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})", lambda a, b, c: _day(c, b, a)), (r"(\d{1,2})\.(\d{1,2})\.(\d{4})", lambda a, b, c: _day(c, b, a)),
+        (r"(\d{1,2})\.(\d{1,2})\.(\d{2})$", lambda a, b, c: _day(_pivoted(c), b, a)), (r"(\d{1,2})-([A-Za-z]{3})-(\d{2,4})", lambda a, b, c: _day(_pivoted(c), month(b), a)),
+        (r"(\d{1,2})\s+([A-Za-z]+),?\s+(\d{4})", lambda a, b, c: _day(c, month(b), a)), (r"([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})", lambda a, b, c: _day(c, month(a), b)),
+    ]
+
+    def found(text: Column) -> Column:
+        iso = r"(\d{4}-\d{2}-\d{2})"
+        dated = [F.when(text.rlike(p), day(*[F.regexp_extract(text, p, i) for i in (1, 2, 3)])) for p, day in forms]
+        return F.struct(text.alias("text"), F.coalesce(F.when(text.rlike(iso), F.regexp_extract(text, iso, 1)), *dated).alias("found"))
+
+    told = lambda k: F.when(F.coalesce(k["text"], F.lit("")) != "", F.struct(F.coalesce(k["found"], k["text"]).alias("value"), k["found"].isNull().alias("low_confidence")))
+    return once(once(F.trim(raw), found), told)
 
 
 def tender_kind(text: Column) -> Column:

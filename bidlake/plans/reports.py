@@ -443,7 +443,7 @@ def _(spark, d):
     raw = F.when(F.col("o_orderkey") % 9 == 7, F.concat(F.lit("soon "), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 9 == 8, "  ")
     for i, form in enumerate(_FORMS):
         raw = raw.when(F.col("o_orderkey") % 9 == i, F.concat(F.lit("" if i == 3 else " bis "), F.date_format("o_orderdate", form)))
-    return bridge.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), notices.iso_date(raw).alias("f")).select("id", "f.value", "f.low_confidence")
+    return bridge.dealt(bridge.table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select(F.col("o_orderkey").alias("id"), notices.iso_date(raw).alias("f")).select("id", "f.value", "f.low_confidence")
 
 
 @query("tender_kinds", "SELECT doc_id, CASE cast(doc_id % 4 AS int) WHEN 0 THEN 'Restricted' WHEN 1 THEN 'RFQ' WHEN 2 THEN 'Open' END AS value, CASE cast(doc_id % 4 AS int) WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 WHEN 2 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence FROM documents")
