@@ -7,10 +7,18 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bidlake.functions import literals
+from bidlake.functions.once import once
 
-def first_match(text: Column, patterns: list[str], flags: str = "ium") -> Column:
-    """Group 1 of the first pattern that is found, trimmed; null if none is."""
-    return F.coalesce(*[F.when(text.rlike(f"(?{flags}){p}"), F.trim(F.regexp_extract(text, f"(?{flags}){p}", 1))) for p in patterns])
+
+def first_match(text: Column, patterns: list[str], flags: str = "ium", low: Column | None = None) -> Column:
+    """Group 1 of the first pattern that is found, trimmed; null if none is. With the text folded (``literals.folded``), a pattern is searched only where it may be."""
+    finds = []
+    for p in patterns:
+        search = text.rlike(f"(?{flags}){p}")
+        may = literals.may_have(low, p) if low is not None else None
+        finds.append(F.when(search if may is None else may & search, F.trim(F.regexp_extract(text, f"(?{flags}){p}", 1))))
+    return F.coalesce(*finds)
 
 
 def all_matches(text: Column, patterns: list[str], flags: str = "iu", group: int = 1) -> Column:
@@ -21,7 +29,7 @@ def all_matches(text: Column, patterns: list[str], flags: str = "iu", group: int
 
 def cleaned(text: Column) -> Column:
     """Single blanks, no table or quote marks; empty: null."""
-    return F.nullif(F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), "[|»«]+", "")), F.lit(""))
+    return once(text, lambda t: F.when(t.isNotNull(), once(F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, r"\s+", " ")), "[|»«]+", "")), lambda c: F.when(c != "", c))))
 
 
 def _timestamp(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
@@ -105,26 +113,38 @@ VALUES = [r"(?:Gesamtwert|Auftragswert|Schätzwert|Gesamtvolumen|Auftragsvolumen
 CRITERIA = [r"zuschlagskriterien?\s*[:\n](.*?)(?:\n[A-Z]|\z)", r"awarding\s+criteria?\s*[:\n](.*?)(?:\n[A-Z]|\z)"]
 
 
-def _labelled(text: Column, table: dict[str, str]) -> Column:
-    return F.coalesce(*[F.when(text.rlike(f"(?iu){p}"), label) for label, p in table.items()])
+def _labelled(text: Column, low: Column, table: dict[str, str]) -> Column:
+    return F.coalesce(*[F.when(literals.may_have(low, p) & text.rlike(f"(?iu){p}"), label) for label, p in table.items()])
 
 
 def extract_fields(text: Column) -> Column:
-    """All fields of a notice as one struct; what isn't found is null or an empty array."""
-    value = cleaned(first_match(text, VALUES, "iu"))
-    description = F.substring(F.trim(F.regexp_replace(cleaned(first_match(text, DESCRIPTIONS, "ius")), r"\s+", " ")), 1, 400)
-    lines = F.transform(F.split(first_match(text, CRITERIA, "ius"), "\n"), lambda x: F.regexp_replace(x, r"^[ \t\-•*·]+|[ \t\-•*·]+$", ""))
+    """All fields of a notice as one struct; what isn't found is null or an empty array.
+
+    Each pattern is searched only in texts with the letters that it requires, and each field is worked out once.
+    """
+    return once(F.struct(text.alias("text"), literals.folded(text).alias("low")), lambda t: _fields(t["text"], t["low"]))
+
+
+def _fields(text: Column, low: Column) -> Column:
+    money = lambda v: F.struct(v.alias("value"), F.when(v.isNotNull(), F.when(F.upper(text).contains("EUR") | text.contains("€"), "EUR").when(F.upper(text).contains("CHF"), "CHF")).alias("currency"))
+    cut = lambda x: F.regexp_replace(x, r"^[ \t\-•*·]+|[ \t\-•*·]+$", "")
+    lines = F.transform(F.split(first_match(text, CRITERIA, "ius", low), "\n"), cut)
     criteria = F.slice(F.filter(lines, lambda x: (F.length(x) > 3) & (F.length(x) < 200)), 1, 10)
-    fields = [cleaned(first_match(text, patterns)).alias(name) for name, patterns in SCALARS.items()] + [
+    description = F.substring(F.trim(F.regexp_replace(cleaned(first_match(text, DESCRIPTIONS, "ius", low)), r"\s+", " ")), 1, 400)
+    mail = F.when(text.contains("@"), F.regexp_extract(text, r"[\w.+\-]+@[\w\-]+\.[\w.\-]{2,}", 0))
+    lots = all_matches(text, [r"los\s+(\d+)\s*[:\-]?\s*(.{5,80})", r"teillos\s+(\d+)\s*[:\-]?\s*(.{5,80})"])
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    first = [cleaned(first_match(text, patterns, low=low)).alias(name) for name, patterns in SCALARS.items()] + [
         description.alias("leistungsbeschreibung"),
-        F.coalesce(cleaned(first_match(text, PROCEDURE_LABELS)), _labelled(text, PROCEDURES)).alias("vergabeverfahren"),
-        _labelled(text, KINDS).alias("auftragsart"),
+        F.coalesce(cleaned(first_match(text, PROCEDURE_LABELS, low=low)), _labelled(text, low, PROCEDURES)).alias("vergabeverfahren"),
+        _labelled(text, low, KINDS).alias("auftragsart"),
         F.slice(all_matches(text, [r"\b(\d{8}(?:-\d)?)\b"]), 1, 20).alias("cpv_codes"),
-        F.array_distinct(F.transform(all_matches(text, [r"\bNUTS[:\s-]*([A-Z]{2}\d{0,3}[A-Z0-9]*)\b"]), F.upper)).alias("nuts_codes"),
-        value.alias("auftragswert"),
-        F.when(value.isNotNull(), F.when(F.upper(text).contains("EUR") | text.contains("€"), "EUR").when(F.upper(text).contains("CHF"), "CHF")).alias("waehrung"),
-        F.nullif(F.regexp_extract(text, r"[\w.+\-]+@[\w\-]+\.[\w.\-]{2,}", 0), F.lit("")).alias("email"),
+        F.when(low.contains("nuts"), F.array_distinct(F.transform(all_matches(text, [r"\bNUTS[:\s-]*([A-Z]{2}\d{0,3}[A-Z0-9]*)\b"]), F.upper))).otherwise(none).alias("nuts_codes"),
+        once(cleaned(first_match(text, VALUES, "iu")), money).alias("_money"),
+        once(mail, lambda m: F.when(m != "", m)).alias("email"),
         F.coalesce(criteria, F.array().cast("array<string>")).alias("zuschlagskriterien"),
-        all_matches(text, [r"los\s+(\d+)\s*[:\-]?\s*(.{5,80})", r"teillos\s+(\d+)\s*[:\-]?\s*(.{5,80})"]).alias("lose"),
+        F.when(low.contains("los"), lots).otherwise(none).alias("lose"),
     ]
-    return F.struct(*fields)
+    names = [*SCALARS, "leistungsbeschreibung", "vergabeverfahren", "auftragsart", "cpv_codes", "nuts_codes", "auftragswert", "waehrung", "email", "zuschlagskriterien", "lose"]
+    place = {"auftragswert": lambda f: f["_money"]["value"], "waehrung": lambda f: f["_money"]["currency"]}
+    return once(F.struct(*first), lambda f: F.struct(*[(place[n](f) if n in place else f[n]).alias(n) for n in names]))

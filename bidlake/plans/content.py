@@ -232,5 +232,5 @@ def _(spark, d):
 '\\nTelefon: +49 30 ', lpad(cast(c_custkey AS string), 7, '0'), '\\nFax: 030 ', lpad(cast(c_custkey AS string), 7, '5'), '\\nNUTS DE30', c_custkey % 10, '\\nLeistungsbeschreibung: Lieferung und Montage von ', c_custkey, ' Geräten\\nLos 1: Fenster und Türen\\nLos 2: Dächer ', c_custkey,
 '\\nZuschlagskriterien:\\n- Preis 60 %\\n- Qualität ', c_custkey, ' Punkte\\nEnde')""")
     names = ["veroeffentlichung", "ted_reference", "bindefrist", "leistungsort", "laufzeit", "contact_person", "phone", "fax", "leistungsbeschreibung", "auftragsart", "titel"]
-    rows = bridge.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), fields.extract_fields(text).alias("f"))
+    rows = bridge.dealt(bridge.table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select(F.col("c_custkey").alias("id"), fields.extract_fields(text).alias("f"))
     return rows.select("id", *[f"f.{n}" for n in names], F.element_at("f.nuts_codes", 1).alias("nuts"), F.array_join("f.lose", ",").alias("lose"), F.array_join("f.zuschlagskriterien", "|").alias("kriterien"))

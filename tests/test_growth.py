@@ -50,3 +50,13 @@ def test_rules_by_their_letters(spark):
     assert literals.required(r"etenders?\.gov\.in") == ("etender", False) and literals.required(r"sam\.gov") == ("sam.gov", True) and literals.required(r"a+b*cd") == ("cd", False)
     assert literals.may_have(F.lit(""), r"\d+|abc") is None
     assert "rlike" not in plan(frame.select(classify.first_rule(F.col("t"), {"x": [r"sam\.gov", "a/b"]}, ""))).lower()
+
+
+def test_few_bytes_are_many_tasks(spark):
+    """Queries that make much of narrow rows deal them first, and don't name a search more often than there are patterns."""
+    for name in ("iso_dates", "extract_fields", "extract_more_fields", "summaries"):
+        assert "RepartitionByExpression" in plan(catalog.queries()[name](spark, SMALL)), name
+    for name, pattern in (("portal_alternatives", "54321-Tender-[a-f0-9-]+"), ("netserver_urls", "TenderOID=([^&]*)")):
+        found = catalog.queries()[name](spark, SMALL)
+        assert plan(found).count(pattern) <= 2, name
+        assert not differences(found, connection(), catalog.oracle_sql()[name])
