@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -22,9 +23,9 @@ from bidlake.session import cut
 # Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of the lexicon, and of a task's memory of other words; both bound memory, neither changes a result.
-LEXICON_WORDS, REMEMBERED = 100_000, 400_000
-#: Characters of text worked on at once.
-CHUNK = 2_000_000
+LEXICON_WORDS, REMEMBERED = 100_000, 100_000
+#: Bytes of text, and ids, worked on at once; a batch has any number of them.
+CHUNK, IDS = 1_000_000, 250_000
 #: For texts of ASCII and Latin letters alone, the same pattern in the faster standard module.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af"
 _PLAIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+").findall
@@ -101,16 +102,15 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-def _chunks(texts: Iterable[str]) -> Iterator[list[str]]:
-    chunk, held = [], 0
-    for text in texts:
-        chunk.append(text)
-        held += len(text)
-        if held >= CHUNK:
-            yield chunk
-            chunk, held = [], 0
-    if chunk:
-        yield chunk
+def _slices(batch: pa.RecordBatch, place: int, lengths: Callable[[pa.Array], pa.Array], most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows; each has up to ``most`` by ``lengths`` of that column, or one row."""
+    ends = np.cumsum(pc.fill_null(lengths(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, n = 0, batch.num_rows
+    while start < n:
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def frequent_words(texts: DataFrame, text_col: str, words: int) -> list[bytes]:
@@ -149,12 +149,9 @@ def bpe_encode(texts: DataFrame, path: str, text_col: str = "text", ids_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, Lexicon(SparkFiles.get(name)))
         for batch in batches:
-            start = 0
-            for chunk in _chunks(t or "" for t in batch.column(place).to_pylist()):
-                offsets, ids = encoder.encode(chunk)
+            for rows in _slices(batch, place, pc.binary_length, CHUNK):
+                offsets, ids = encoder.encode([t or "" for t in rows.column(place).to_pylist()])
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                rows = batch.slice(start, len(chunk))
-                start += len(chunk)
                 yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*kept, ids_col])
 
     schema = texts.select(*kept).schema.add(ids_col, T.ArrayType(T.IntegerType()))
@@ -227,12 +224,13 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: st
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
         for batch in batches:
-            column = batch.column(place)
-            flat = column.flatten().to_numpy(zero_copy_only=False)  # without the null arrays' ids
-            flat = np.where((flat >= 0) & (flat < size - 1), flat, size - 1).astype(np.int64)  # null: NaN
-            ends = np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())])
-            texts = [b"".join(map(tokens.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, text_col])
+            for rows in _slices(batch, place, pc.list_value_length, IDS):
+                column = rows.column(place)
+                flat = column.flatten().to_numpy(zero_copy_only=False)  # without the null arrays' ids
+                flat = np.where((flat >= 0) & (flat < size - 1), flat, size - 1).astype(np.int64)  # null: NaN
+                ends = np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())])
+                texts = [b"".join(map(tokens.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*kept, text_col])
 
     schema = encoded.select(*kept).schema.add(text_col, T.StringType())
     return encoded.select(*kept).mapInArrow(decode, schema)

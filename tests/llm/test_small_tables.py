@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -165,6 +167,17 @@ def test_bpe(docs, empty):
     assert bpe.bpe_decode(bpe.bpe_encode(empty, path), path).count() == 0
 
 
+def test_bpe_works_on_bounded_slices_of_a_batch():
+    texts = [None, "", "x" * 2_500_000, None] + ["word " * 400] * 2000
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": pa.array(texts, pa.string()), "ids": pa.array([t and [1] * len(t[:2000]) for t in texts], pa.list_(pa.int32()))})
+    for place, lengths, most in ((1, pc.binary_length, bpe.CHUNK), (2, pc.list_value_length, bpe.IDS)):
+        found = list(bpe._slices(batch, place, lengths, most))
+        assert pa.Table.from_batches(found).to_pydict() == batch.to_pydict()
+        sizes = [pc.sum(lengths(x.column(place))).as_py() or 0 for x in found]
+        assert len(found) > 3 and all(size <= most or x.num_rows == 1 for size, x in zip(sizes, found))
+    assert list(bpe._slices(batch.slice(0, 0), 1, pc.binary_length, bpe.CHUNK)) == []
+
+
 def test_near_duplicates(docs, empty):
     found = {}
     for r in minhash.near_duplicates(docs, words=2).collect():
