@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bidlake.llm.shingles import shingle_sets, text_chunks
 from bidlake.operators.components import list_components
 from bidlake.operators.prefilter import likely_among
-from bidlake.session import cut, unused
+from bidlake.session import cut, let_go, unused
 
 #: Retained values a sketch; sketches of sets linked at 0.8 have at least SHARED in common but for a chance below 1e-7.
 SKETCH, SHARED = 48, 22
@@ -103,8 +103,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     first = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("first_id"))
     found = sketches(docs, id_col, text_col, words)
     nodes = cut(found.drop("id").dropDuplicates(["node"]))
+    let_go(docs.sparkSession)
     values = nodes.select(F.col("node").alias("id"), "n", F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
     often = cut(values.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("f")).filter("f > 1"))
+    let_go(docs.sparkSession)
     mine = W.partitionBy("id")
     whole = SKETCH * percent // 100
     need = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(SHARED))
@@ -128,15 +130,15 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = about.withColumnRenamed("id", "a").alias("x"), about.withColumnRenamed("id", "b").alias("y")
         close = cut(pairs.join(x, "a").join(y, "b").filter(near("x", "y")).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")))
-        sx, sy = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        met = likely_among(nodes.select("node", "sketch"), F.col("node"), close.select(F.explode(F.array("a", "b")).alias("node")), "node")
+        sx, sy = (met.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
         likely = cut(close.join(sx, "a").join(sy, "b").filter(_alike("sa", "sb", "na", "nb", percent)).select("a", "b", "na", "nb"))
         if not likely.head(1):
             return likely
         wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = cut(first.join(wanted, "node").select(F.col("first_id").alias("_first"), F.xxhash64("first_id").alias("_hash")).distinct())
-        some = likely_among(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), F.xxhash64("_id"), ids, "_hash")  # nulls have a hash
-        texts = some.join(ids, (F.xxhash64("_id") == F.col("_hash")) & F.col("_id").eqNullSafe(F.col("_first"))).select("_text")
-        sets = full_sets(texts, words).join(wanted, "node").dropDuplicates(["node"])
+        ids = cut(first.join(wanted, "node").select(F.xxhash64("first_id").alias("_hash")))
+        texts = likely_among(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), F.xxhash64("_id"), ids, "_hash").select("_text")  # nulls have a hash
+        sets = likely_among(full_sets(texts, words), F.col("node"), wanted, "node").join(wanted, "node").dropDuplicates(["node"])  # texts of other ids go here
         held = likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
         both = F.size(F.array_intersect("ia", "ib"))
         return held.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")

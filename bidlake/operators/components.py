@@ -89,6 +89,9 @@ def list_components(
         let_go(postings.sparkSession)
         postings = cut(likely_among(postings, F.col("key"), several, "key").join(several, "key").select("key", "id", "size").distinct())
         del several
+    else:  # lists and members are both made of them
+        postings = cut(postings)
+        let_go(postings.sparkSession)
     lead = F.min(F.struct("rank", "id", "size")) if ranked else F.min(F.struct("id", "size"))
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), lead.alias("lead")).filter("n > 1")
     lists = lists.select("key", "n", F.col("lead.id").alias("leader"), F.col("lead.size").alias("leader_size"))
