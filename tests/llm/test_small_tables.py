@@ -65,6 +65,18 @@ def test_line_dedup(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_bound_is_over_the_distance(spark):
+    """Pieces give no fewer edits than there are, and about as many where words are replaced, put in and left out."""
+    words = [f"wort{i * i % 97}" + "aeiou"[i % 5] * (i % 4) for i in range(120)]
+    edited = [w for i, w in enumerate(words) for w in ([] if i % 31 == 5 else ["neu", w] if i % 37 == 9 else ["anders"] if i % 29 == 3 else [w])]
+    pairs = [(words, edited), (edited, words), (words, words), (words, words[::-1]), (words[:1], words), (words, words[60:]), (["日本語テキスト"] * 40, ["日本語"] + ["日本語テキスト"] * 40), ([], words)]
+    frame = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    found = [(row["d"], row["most"]) for row in frame.selectExpr("i", "levenshtein(a, b) as d", f"{linededup.edits_at_most('a', 'b', '1000000')} as most").orderBy("i").collect()]
+    assert all(distance <= most for distance, most in found)
+    assert all(most <= distance + 60 for distance, most in found[:2])
+    assert found[2] == (0, 0)
+
+
 def test_line_dedup_counts_every_word(spark):
     """No line is sampled: numbers only, one word over and over, near copies on either side of 60,000 words."""
     numbers = " ".join(str(i) for i in range(30_001))
