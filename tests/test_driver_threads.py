@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from bidlake.operators import components
 from bidlake.operators.components import connected_components
 from bidlake.session import let_go
 
@@ -29,3 +30,19 @@ def test_components_broadcast_nothing(spark):
     assert before >= 0
     assert {row["root"] for row in connected_components(edges).collect()} == {0}
     assert newest(spark, "broadcast-exchange") == before
+
+
+def test_few_links_go_on_without_exchanges(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    spark.range(10).repartition(2).count()
+    before = newest(spark, "shuffle-exchange")
+    assert {row["root"] for row in connected_components(edges).collect()} == {0}
+    assert newest(spark, "shuffle-exchange") - before <= 2  # the edges' own distinct
+
+
+def test_many_links_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW_LINKS", 5)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    found = connected_components(edges)
+    assert {row["root"] for row in found.collect()} == {0}
+    assert found.count() == 41
