@@ -68,7 +68,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     hit = (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))
     drawn = points.join(F.broadcast(cells), "_cell").filter(hit).select("_rank", "at", F.lit(1).alias("_one"))  # a row a source and cell
-    ranked = running_totals(drawn, ["_rank", "at"], "_one", "_before", "_pos")
+    ranked = cut(running_totals(drawn, ["_rank", "at"], "_one", "_before", "_pos").select("_rank", "at", "_pos"))  # used three times
     firsts = ranked.groupBy("_rank").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_got"))
     inside = ranked.join(F.broadcast(firsts), "_rank").select("at", "_rank", (F.col("_pos") - F.col("_first")).alias("slot"))  # a row a source
     short = shares.join(firsts, "_rank", "left").withColumn("_got", F.coalesce("_got", F.lit(0)))
@@ -93,10 +93,10 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, seed: int = 7, id_col: str
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_mixed")
     )
     tape = running_totals(rows, ["source", "_mixed", "_id", "size"], "size", "_start", "_nth")
-    sizes = tape.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_start").alias("_zero"))
+    sizes = cut(tape.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_start").alias("_zero")))
     targets = cut(source_targets(sizes.drop("_zero")).join(sizes.select(F.col("source").alias("_s"), "_zero"), F.col("_s").eqNullSafe(F.col("source"))).drop("_s"))
     known = tape.withColumnRenamed("source", "_s").join(F.broadcast(targets), F.col("_s").eqNullSafe(F.col("source"))).drop("_s")  # a row a source
-    known = known.withColumn("_start", F.col("_start") - F.col("_zero"))
+    known = cut(known.withColumn("_start", F.col("_start") - F.col("_zero")))  # a few numbers a row, used twice
     goal = F.floor("target").cast("long")
     spans = (
         known.filter("size > 0")
